@@ -123,8 +123,9 @@ def part_words(part: Part) -> list[str]:
 
 
 _QUOTED = re.compile(r"^[ \t]*[>|]")
-_INTRO = re.compile(r"(?:\d{2}:\d{2}|\?).{0,80}:\s*$")
-_RULE = re.compile(r"^\s*-{20,}\s")
+#: A line that introduces a quotation: it says who wrote, or holds a time, and ends in a colon.
+_INTRO = re.compile(r"(?:\b(?:wrote|schrieb|escribió|a écrit)\b.{0,80}|\d{1,2}[:.]\d{2}.{0,80}|\?.{0,80}):\s*$")
+INTRO_CHARS = 160
 
 
 def _own_html(markup: str) -> list[str]:
@@ -142,15 +143,15 @@ def _own_html(markup: str) -> list[str]:
                 kept.append(piece)
         s = "\n".join(kept)
     s = _BLOCK.sub("\n", _CELL.sub(" ", _INLINE.sub("", s)))
-    return (html.unescape(s) if "&" in s else s).split("\n")
+    lines = (html.unescape(s) if "&" in s else s).split("\n")
+    return [x for x in lines if not (len(x) < INTRO_CHARS and _INTRO.search(x))]
 
 
 def _own_plain(text: str) -> list[str]:
     """Lines outside quotations; an indented block after a line that introduces a quotation is one."""
     out, quoting = [], False
     for line in text.split("\n"):
-        if _QUOTED.match(line) and not line.strip("|> \t").startswith("http"):
-            # a bar at the start is a quote mark; bars between items are none
+        if _QUOTED.match(line):
             continue
         if quoting:
             if not line.strip():
@@ -158,7 +159,7 @@ def _own_plain(text: str) -> list[str]:
             if line[:1] in " \t":
                 continue
             quoting = False
-        if _INTRO.search(line) and len(line) < 120:
+        if len(line) < INTRO_CHARS and _INTRO.search(line):
             quoting = True
             continue
         out.append(line)

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keystrata._util import cut_lineage
-from keystrata.llm import heavy_hitters, seen_keys
+from keystrata.llm import fmindex, heavy_hitters, packing, seen_keys, stuffing
 from keystrata.sources.tables import table
 
 #: Promised rate of wrong answers of the seen-key chains.
@@ -67,10 +67,54 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 P4_COUNTS = "SELECT user_key, count(*) AS n FROM kv_ops WHERE user_key IS NOT NULL GROUP BY user_key HAVING count(*) * 1000 >= (SELECT count(*) FROM kv_ops)"
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its container for every target size."""
+    counts = cut_lineage(packing.token_counts(table(spark, d, "documents")))
+    return packing.containers(counts, table(spark, d, "pack_targets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each target are."""
+    return packing.fill(p7_containers(spark, d), table(spark, d, "pack_targets"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return fmindex.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return fmindex.leaks(_spans(spark, d))
+
+
+def p8_removals(spark: SparkSession, d: str) -> DataFrame:
+    """The word spans to cut from each mail part."""
+    return fmindex.merged_removals(_spans(spark, d))
+
+
+def _line_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return stuffing.line_shares(documents, stuffing.train(documents))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.flagged(_line_shares(spark, d)).select("doc_id")
+
+
+def p9_line_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Words of every document by the label of their line."""
+    return _line_shares(spark, d)
+
+
 #: name -> (query, oracle or None)
 CATALOGUE = {
     "p3_found": (p3_found, P3_FOUND),
     "p3_error_rate": (p3_error_rate, None),
     "p4_found": (p4_found, P4_FOUND),
     "p4_counts": (p4_counts, P4_COUNTS),
+    "p7_containers": (p7_containers, None),
+    "p7_fill": (p7_fill, None),
+    "p8_found": (p8_found, None),
+    "p8_removals": (p8_removals, None),
+    "p9_found": (p9_found, None),
+    "p9_line_shares": (p9_line_shares, None),
 }
