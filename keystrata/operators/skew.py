@@ -6,11 +6,11 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from keystrata._util import P, checked_broadcast, cut_lineage, require
+from keystrata._util import BROADCAST_ROWS, P, checked_broadcast, cut_lineage, require
 
 #: Values of a key that one task may sort; keys with more go through the histogram rounds.
 GROUP_LIMIT = 20_000
-BINS = 1024
+BINS = 4096
 
 
 def _rank(p: float, n) -> F.Column:
@@ -29,10 +29,12 @@ def _refine(rows: DataFrame, keys: list[str], bounds: DataFrame, bins: int) -> D
         solved = bounds.where(lo == hi)
         done = solved if done is None else done.unionByName(solved)
         bounds = bounds.where(lo < hi)
-        if bounds.isEmpty():
+        open_ = bounds.count()
+        if not open_:
             return done
         step = (F.floor((hi - lo) / bins) + 1).cast("bigint")
-        side = checked_broadcast(bounds.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], f"{P}q", f"{P}lo", f"{P}hi", f"{P}rank"))
+        hint = F.broadcast if open_ <= BROADCAST_ROWS else (lambda df: df)
+        side = hint(bounds.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], f"{P}q", f"{P}lo", f"{P}hi", f"{P}rank"))
         v = F.col(f"{P}v")
         inside = rows.join(side, [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]).where(v.between(lo, hi))
         hist = inside.groupBy(*keys, f"{P}q", f"{P}rank", F.floor((v - lo) / step).alias(f"{P}bin")).agg(
