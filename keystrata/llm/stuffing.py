@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keystrata.llm import mailtext
+from keystrata.llm._spread import spread
 
 #: Labels of lines, and the hidden states behind them: prose is sentences, or the short lines and figures beside them.
 STATES = ("prose", "links", "tags", "menu")
@@ -43,6 +44,8 @@ N_SYMBOLS = math.prod(LEVELS)
 SHARE = 0.5
 #: Documents, about, on which the model is fitted, and the most there can be.
 FIT_DOCS, FIT_ROUNDS = 4000, 8
+#: Symbols of a sequence that are fitted in one piece.
+FIT_LINES = 128
 
 
 class Line(NamedTuple):
@@ -155,38 +158,55 @@ def prior() -> Model:
     return Model(start, move, tuple(np.array([PRIOR[s][k] for s in HIDDEN]) for k in range(len(LEVELS))))
 
 
+def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of at most ``FIT_LINES`` symbols, longest first, padded: symbols, lengths, and which begin a sequence."""
+    pieces = [(x[i : i + FIT_LINES], i == 0) for x in sequences for i in range(0, len(x), FIT_LINES)]
+    pieces.sort(key=lambda p: -len(p[0]))
+    n = np.array([len(x) for x, _ in pieces], np.int64)
+    x = np.zeros((len(pieces), n[0] if len(n) else 0), np.int64)
+    for row, (piece, _) in zip(x, pieces, strict=True):
+        row[: len(piece)] = piece
+    return x, n, np.array([b for _, b in pieces], bool)
+
+
 def fit(sequences: list[np.ndarray], rounds: int = FIT_ROUNDS) -> Model:
-    """Baum-Welch from the prior, with the prior's tables as pseudo-counts so that states keep their meaning."""
-    p, model = prior(), prior()
+    """Baum-Welch from the prior, with the prior's tables as pseudo-counts so that states keep their meaning.
+
+    All sequences take a step at a time together; long ones go in pieces.
+    """
+    p, model, k = prior(), prior(), len(HIDDEN)
+    x, n, begins = _padded(sequences)
+    if not len(n):
+        rounds = min(rounds, 1)
+    steps = x.shape[1]
+    open_ = [int((n > t).sum()) for t in range(steps)]
     digits = np.array(np.unravel_index(np.arange(N_SYMBOLS), LEVELS))
     for _ in range(rounds):
-        e = model.emission()
-        start, move, seen = p.start * 100, p.move * 500, np.zeros((len(HIDDEN), N_SYMBOLS))
-        for x in sequences:
-            n = len(x)
-            if not n:
-                continue
-            a, scale = np.empty((n, len(HIDDEN))), np.empty(n)
-            v = model.start * e[:, x[0]]
-            for t in range(n):
-                if t:
-                    v = (a[t - 1] @ model.move) * e[:, x[t]]
-                scale[t] = v.sum()
-                a[t] = v / scale[t]
-            b = np.ones(len(HIDDEN))
-            for t in range(n - 1, -1, -1):
-                g = a[t] * b
-                g /= g.sum()
-                seen[:, x[t]] += g
-                if t == 0:
-                    start += g
-                else:
-                    eb = e[:, x[t]] * b / scale[t]
-                    move += a[t - 1][:, None] * model.move * eb[None, :]
-                    b = model.move @ eb
+        e = model.emission().T
+        start, move, seen = p.start * 100, p.move * 500, np.zeros((N_SYMBOLS, k))
+        forward, scales = [], []
+        for t in range(steps):
+            m = open_[t]
+            v = (model.start if t == 0 else forward[-1][:m] @ model.move) * e[x[:m, t]]
+            scales.append(v.sum(1, keepdims=True))
+            forward.append(v / scales[-1])
+        b = np.ones((open_[-1] if steps else 0, k))
+        for t in range(steps - 1, -1, -1):
+            m = open_[t]
+            b = np.concatenate([b, np.ones((m - len(b), k))])
+            g = forward[t] * b
+            g /= g.sum(1, keepdims=True)
+            for s in range(k):
+                seen[:, s] += np.bincount(x[:m, t], g[:, s], N_SYMBOLS)
+            if t == 0:
+                start += g[begins].sum(0)
+            else:
+                eb = e[x[:m, t]] * b / scales[t]
+                move += model.move * (forward[t - 1][:m].T @ eb)
+                b = eb @ model.move.T
         features = []
-        for k, base in enumerate(LEVELS):
-            c = np.stack([seen[:, digits[k] == x].sum(1) for x in range(base)], 1) + PRIOR_LINES * p.features[k]
+        for i, base in enumerate(LEVELS):
+            c = np.stack([seen[digits[i] == level].sum(0) for level in range(base)], 1) + PRIOR_LINES * p.features[i]
             features.append(c / c.sum(1, keepdims=True))
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), tuple(features))
     return model
@@ -231,14 +251,15 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int = FIT_DOCS) -> Model:
-    """The model fitted on about ``docs`` documents, chosen by a hash of their id, at most twice as many.
+    """The model fitted on about ``docs`` documents, chosen by a hash of their id; at most eight text parts each on average.
 
     Only the symbols of their lines (two bytes each) come to the driver. An empty table gives the prior.
     """
     n = documents.count()
     every = max(1, n // docs)
-    chosen = documents.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).where(F.col(text).isNotNull()).select(text).limit(2 * docs)
-    return fit([np.frombuffer(r[0], np.uint16) for r in chosen.mapInArrow(_sequences, "symbols binary").collect()])
+    chosen = documents.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).where(F.col(text).isNotNull()).select(text)
+    got = spread(chosen).mapInArrow(_sequences, "symbols binary").limit(8 * docs).collect()
+    return fit([np.frombuffer(r[0], np.uint16) for r in sorted(got)])
 
 
 def word_shares(raw: str | None, labeller: Labeller) -> tuple[int, list[int]]:
@@ -266,7 +287,7 @@ def line_shares(documents: DataFrame, model: Model, text: str = "text", doc_id:
             cols = [b.column(0), pa.array([n for n, _ in got], pa.int64()), *[pa.array([by[k] for _, by in got], pa.int64()) for k in range(len(STATES))]]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     return rows.mapInArrow(go, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
 
 
