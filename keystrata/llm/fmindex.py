@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keystrata.llm import mailtext
+from keystrata.llm._spread import spread
 
 #: Consecutive words that make a leak.
 PHRASE = 12
@@ -253,7 +254,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, text: str = "text", doc
     """
     listed = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     n = listed.count()
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
     out = None
     blocks = max(1, -(-n // BLOCK_ITEMS))
     for k in range(blocks):

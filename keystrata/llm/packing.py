@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from keystrata.llm._spread import spread
+
 #: Rank file of a public byte-pair tokenizer, and the pattern that splits text before its merges (fixed value).
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +38,7 @@ def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id
             n = [len(encode(t)) if (t := v.as_py()) else 0 for v in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(go, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(go, "doc_id bigint, n_tokens bigint")
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
