@@ -134,6 +134,16 @@ def pick_runs(ssts: DataFrame, level: int, share: float, seed: int) -> DataFrame
     return at.orderBy(F.xxhash64(F.lit(seed), "sst_id"), "sst_id").limit(n)
 
 
+def next_level_inputs(picked: DataFrame, ssts: DataFrame, level: int) -> DataFrame:
+    """Runs of ``level + 1`` that the hull of each group's picked runs overlaps: ``(grp, sst_id)``.
+
+    ``picked`` has ``grp, first_key, last_key``. Hulls are one row per group.
+    """
+    hulls = checked_broadcast(picked.groupBy("grp").agg(F.min("first_key").alias(f"{P}lo"), F.max("last_key").alias(f"{P}hi")))
+    at = ssts.where(F.col("level") == level + 1)
+    return at.join(hulls, overlaps(F.col("first_key"), F.col("last_key"), F.col(f"{P}lo"), F.col(f"{P}hi"))).select("grp", "sst_id")
+
+
 def target_level(level: int, options: LsmOptions) -> tuple[int, str]:
     """The level a compaction of ``level`` writes to, and its compression."""
     to = min(level + 1, options.levels - 1)

@@ -111,6 +111,31 @@ def non_overlap(ssts: DataFrame) -> DataFrame:
     return prev.groupBy("level").agg(F.min(fine).alias("ok"))
 
 
+def overlap_violations(ssts: DataFrame) -> DataFrame:
+    """``(level, sst_id)`` of runs of a level that begin at or before the end of the run before them."""
+    prev = ordered(ssts.select("level", "first_key", "last_key", "sst_id"), ["level"], [F.col("first_key"), F.col("sst_id")], lags={"before": F.col("last_key")})
+    return prev.where(F.col("first_key") <= F.col("before")).select("level", "sst_id")
+
+
+def diffs_for(wanted: DataFrame, diffs: DataFrame, stream: list[str], most: int = 10) -> DataFrame:
+    """``(stream..., member..., version_id)``: the next ``most`` recorded versions for each member of ``wanted``.
+
+    ``wanted`` has the stream's columns, further member columns and ``next_version_id``. Versions are numbered per
+    stream in order, so "the next few" is a range of numbers and a version meets only members it is for.
+    """
+    ids = diffs.select(*stream, "version_id").distinct()
+    numbered = ordered(ids, stream, [F.col("version_id")], sums={f"{P}no": F.lit(1).cast("bigint")})
+    member = [c for c in wanted.columns if c not in (*stream, "next_version_id")]
+    merged = numbered.unionByName(
+        wanted.select(*stream, *member, F.col("next_version_id").alias("version_id"), F.lit(0).cast("bigint").alias(f"{P}no")).where("version_id IS NOT NULL"), allowMissingColumns=True
+    )
+    # a member stands before the version it wants; the next number at or after it is where its range begins
+    at = ordered(merged, stream, [F.col("version_id"), F.col(f"{P}no")], next_mins={f"{P}from": F.when(F.col(f"{P}no") > 0, F.col(f"{P}no"))})
+    asks = at.where(F.col(f"{P}no") == 0).where(F.col(f"{P}from").isNotNull())
+    each = asks.select(*stream, *member, F.explode(F.sequence(F.col(f"{P}from"), F.col(f"{P}from") + (most - 1))).alias(f"{P}no"))
+    return each.join(numbered, [*stream, f"{P}no"]).select(*stream, *member, "version_id")
+
+
 def watermark(reports: DataFrame, node: list[str]) -> DataFrame:
     """One row ``(watermark)``: the least of the nodes' highest reported watermarks; below it no node reads any more."""
     per = reports.where(F.col("watermark").isNotNull()).groupBy(*node).agg(F.max("watermark").alias("w"))

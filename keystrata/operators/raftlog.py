@@ -45,6 +45,15 @@ def phantom_terms(log: DataFrame) -> DataFrame:
     return gone.groupBy("grp").agg(F.max(F.struct("idx", "term", "pos")).alias(f"{P}p")).select("grp", f"{P}p.idx", f"{P}p.term")
 
 
+def term_of(asked: DataFrame, log_entries: DataFrame, phantoms: DataFrame) -> DataFrame:
+    """Adds ``term`` to ``asked (grp, idx)``: that of the entry, of the phantom at its index, or of the phantom for any
+    index of a group whose log is empty; else NULL."""
+    known = log_entries.select("grp", "idx", "term").unionByName(phantoms.select("grp", "idx", "term")).groupBy("grp", "idx").agg(F.max("term").alias(f"{P}t"))
+    empty = phantoms.join(log_entries.select("grp").distinct(), "grp", "left_anti").select("grp", F.col("term").alias(f"{P}e"))
+    got = asked.join(known, ["grp", "idx"], "left").join(empty, "grp", "left")
+    return got.withColumn("term", F.coalesce(f"{P}t", f"{P}e")).drop(f"{P}t", f"{P}e")
+
+
 def entries(log_entries: DataFrame, grp: int, index: int, n: int, mask: int = 0, strict: bool = True) -> DataFrame:
     """Up to ``n`` surviving entries of a group from ``index`` on, hidden ones below ``mask`` left out.
 

@@ -97,16 +97,21 @@ def key_range_violations(new: DataFrame, present: DataFrame, nodes: DataFrame) -
     return exists.unionByName(overlaps).unionByName(again).unionByName(lost).distinct()
 
 
+def raft_states(reports: DataFrame) -> DataFrame:
+    """``(raft_node, at, is_leader)``: the last report of each raft node stands."""
+    last = reports.where(F.col("raft_node").isNotNull()).groupBy("raft_node").agg(F.max(F.struct("at", "is_leader")).alias("last"))
+    return last.select("raft_node", "last.at", "last.is_leader")
+
+
 def live_leaders(ranges: DataFrame, reports: DataFrame, now: Column, ttl_s: int = 10) -> DataFrame:
     """``(grp, leader)``: the raft node of the group with the newest report of leading, at most ``ttl_s`` old, else 0.
 
     ``reports`` has ``raft_node, is_leader, at``. The last report of a raft node stands. Where several claim to lead,
     the newest report, then the larger raft node, wins.
     """
-    last = reports.where(F.col("raft_node").isNotNull()).groupBy("raft_node").agg(F.max(F.struct("at", "is_leader")).alias("last"))
-    fresh = last.where(F.col("last.is_leader") & (F.col("last.at") >= now - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")))
+    fresh = raft_states(reports).where(F.col("is_leader") & (F.col("at") >= now - F.expr(f"INTERVAL {int(ttl_s)} SECONDS")))
     of = ranges.select("grp", F.explode_outer(F.map_keys("raft_nodes")).alias("raft_node"))
-    best = of.join(fresh, "raft_node", "left").groupBy("grp").agg(F.max(F.when(F.col("last").isNotNull(), F.struct("last.at", "raft_node"))).alias("b"))
+    best = of.join(fresh, "raft_node", "left").groupBy("grp").agg(F.max(F.when(F.col("at").isNotNull(), F.struct("at", "raft_node"))).alias("b"))
     return best.select("grp", F.coalesce("b.raft_node", F.lit(0)).cast("bigint").alias("leader"))
 
 

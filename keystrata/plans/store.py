@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keystrata._util import spelled
 from keystrata.functions import codec
-from keystrata.operators import compaction, manifest, merge, raftlog, reads, requests, routing
+from keystrata.operators import compaction, manifest, merge, raftlog, reads, requests, routing, writes
 from keystrata.sources.tables import kv_versions, log_entries, manifest_diffs, table, with_runs
 
 #: Snapshot, watermark, keys and bounds of the queries. All lie inside the data at any scale.
@@ -247,6 +247,42 @@ def sst_duplicates(spark, d):
     return compaction.has_duplicates(table(spark, d, "manifest"))
 
 
+@query(f"""SELECT user_key, sequence, CAST((sum({SIZE} + 96) OVER (ORDER BY sequence, user_key ROWS UNBOUNDED PRECEDING) - 1) // 65536 AS BIGINT) AS table_no FROM {KV} k""")
+def memtable_rotation(spark, d):
+    return writes.rotate(_kv(spark, d), [F.col("sequence"), F.col("user_key")], 65536).select("user_key", "sequence", F.col("table").alias("table_no"))
+
+
+@query(f"""SELECT request_id, sequence, previous FROM (SELECT request_id, sequence, lag(sequence) OVER (ORDER BY arrived_at, request_id) AS previous FROM
+(SELECT request_id, max(sequence) AS sequence, min(arrived_at) AS arrived_at FROM {REQ_OPS} o WHERE op_type IN ('PUT', 'DELETE') GROUP BY request_id) w) x WHERE sequence <= previous""")
+def writes_out_of_order(spark, d):
+    ops = requests.distinct_ops(table(spark, d, "kv_ops")).where(F.col("op_type").isin(*requests.WRITES))
+    per = ops.groupBy("request_id").agg(F.max("sequence").alias("sequence"), F.min("arrived_at").alias("arrived_at"))
+    return writes.out_of_order(per, [], [F.col("arrived_at"), F.col("request_id")], "sequence").select("request_id", "sequence", "previous")
+
+
+@query(f"""SELECT sst_id, 0 AS level, min(user_key) AS first_key, max(user_key) AS last_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS data_size FROM
+(SELECT user_key, {SIZE} AS size, 1000 + CAST((sum({SIZE}) OVER (ORDER BY user_key, sequence DESC ROWS UNBOUNDED PRECEDING) - 1) // {CAPACITY} AS BIGINT) AS sst_id FROM {KV} k) x GROUP BY sst_id""")
+def flush_runs(spark, d):
+    return writes.flush(_kv(spark, d), CAPACITY, 1000)[1]
+
+
+@query(f"""WITH s AS {SST}, h AS (SELECT r.grp, min(first_key) AS lo, max(last_key) AS hi FROM s JOIN key_range r ON s.level = 0 AND NOT (coalesce(s.first_key > r.end_key, false) OR s.last_key < r.start_key) GROUP BY r.grp)
+SELECT h.grp, s.sst_id FROM s JOIN h ON s.level = 1 AND NOT (s.first_key > h.hi OR s.last_key < h.lo)""")
+def compaction_inputs(spark, d):
+    sst = _sst(spark, d)
+    ranges = table(spark, d, "key_range").select("grp", "start_key", "end_key")
+    picked = sst.where("level = 0").join(F.broadcast(ranges.limit(1000)), compaction.overlaps(F.col("first_key"), F.col("last_key"), F.col("start_key"), F.col("end_key")))
+    return compaction.next_level_inputs(picked, sst, 0)
+
+
+@query(f"""SELECT user_key, sequence, value FROM (SELECT user_key, sequence, value FROM {alive(2**63 - 1)} l WHERE user_key NOT IN (SELECT user_key FROM incoming_ops WHERE user_key IS NOT NULL AND {OP} IN ('PUT', 'DELETE'))) a
+UNION ALL SELECT DISTINCT user_key, 99900000000, 'new' FROM incoming_ops WHERE user_key IS NOT NULL AND {OP} = 'PUT' AND user_key NOT IN (SELECT user_key FROM incoming_ops WHERE user_key IS NOT NULL AND {OP} = 'DELETE')""")
+def put_and_delete(spark, d):
+    new = table(spark, d, "incoming_ops").where(F.col("user_key").isNotNull()).withColumn("op_type", spelled(F.col("op_type")))
+    after = writes.put(_kv(spark, d), new.where("op_type = 'PUT'").select("user_key", F.lit("new").alias("value")), 99900000000)
+    return reads.live(writes.delete(after, new.where("op_type = 'DELETE'"), 99900000001))
+
+
 # ---- manifest
 
 STREAM = ["rudder_id"]
@@ -322,6 +358,20 @@ def verify_non_overlap(spark, d):
     return manifest.non_overlap(_sst(spark, d))
 
 
+@query(f"SELECT level, sst_id FROM (SELECT level, sst_id, first_key, lag(last_key) OVER (PARTITION BY level ORDER BY first_key, sst_id) AS prev FROM {SST} s) t WHERE first_key <= prev")
+def sst_overlap_violations(spark, d):
+    return manifest.overlap_violations(_sst(spark, d))
+
+
+@query(f"""WITH w AS (SELECT rudder_id, node_id, max(next_version_id) AS v FROM heartbeat WHERE next_version_id IS NOT NULL AND rudder_id IS NOT NULL AND node_id IS NOT NULL AND upper(trim(outcome)) = 'OK' GROUP BY rudder_id, node_id),
+d AS (SELECT DISTINCT rudder_id, version_id FROM {DIFFS} d)
+SELECT rudder_id, node_id, version_id FROM (SELECT w.rudder_id, w.node_id, d.version_id, row_number() OVER (PARTITION BY w.rudder_id, w.node_id ORDER BY d.version_id) AS rn FROM w JOIN d ON d.rudder_id = w.rudder_id AND d.version_id >= w.v) x WHERE rn <= 10""")
+def heartbeat_diffs(spark, d):
+    beats = table(spark, d, "heartbeat").where((spelled(F.col("outcome")) == "OK") & F.col("rudder_id").isNotNull() & F.col("node_id").isNotNull())
+    wanted = beats.groupBy("rudder_id", "node_id").agg(F.max("next_version_id").alias("next_version_id"))
+    return manifest.diffs_for(wanted, manifest_diffs(table(spark, d, "manifest")), STREAM)
+
+
 @query("SELECT min(w) AS watermark FROM (SELECT rudder_id, node_id, max(watermark) AS w FROM heartbeat WHERE watermark IS NOT NULL GROUP BY rudder_id, node_id) x")
 def cluster_watermark(spark, d):
     return manifest.watermark(table(spark, d, "heartbeat"), ["rudder_id", "node_id"])
@@ -373,6 +423,11 @@ def live_leaders(spark, d):
     return routing.live_leaders(table(spark, d, "key_range"), beats, now, 86400)
 
 
+@query("SELECT raft_node, sent_at AS at, is_leader FROM (SELECT *, row_number() OVER (PARTITION BY raft_node ORDER BY sent_at DESC, is_leader DESC NULLS LAST) AS rn FROM heartbeat WHERE raft_node IS NOT NULL) h WHERE rn = 1")
+def raft_states(spark, d):
+    return routing.raft_states(table(spark, d, "heartbeat").withColumn("at", F.col("sent_at")))
+
+
 @query(f"SELECT node_id, max(sent_at) AS at FROM heartbeat GROUP BY node_id HAVING max(sent_at) >= {NOW} - INTERVAL 7200 SECOND")
 def live_nodes(spark, d):
     beats = table(spark, d, "heartbeat").withColumn("at", F.col("sent_at"))
@@ -479,6 +534,17 @@ def raft_log_entries(spark, d):
     return raftlog.entries(raftlog.survivors(table(spark, d, "raft_log")), 35, 5, 20, mask=10, strict=False)
 
 
+@query(f"""SELECT a.grp, a.idx, coalesce(s.term, p.term) AS term FROM (SELECT DISTINCT grp, idx FROM raft_log WHERE kind = 'COMPACT' UNION SELECT grp, idx - 1 FROM raft_log WHERE kind = 'COMPACT') a
+LEFT JOIN {SURVIVORS} s ON s.grp = a.grp AND s.idx = a.idx LEFT JOIN (SELECT grp, idx, term FROM (SELECT e.grp, e.idx, e.term, row_number() OVER (PARTITION BY e.grp ORDER BY e.idx DESC, e.term DESC, pos DESC) AS rn FROM {ENTRIES} e
+JOIN (SELECT grp, max(idx) AS c FROM raft_log WHERE kind = 'COMPACT' AND grp IS NOT NULL GROUP BY grp) z ON z.grp = e.grp WHERE e.idx < z.c) x WHERE rn = 1) p
+ON p.grp = a.grp AND (p.idx = a.idx OR a.grp NOT IN (SELECT grp FROM {SURVIVORS} s))""")
+def raft_log_term_lookup(spark, d):
+    log = table(spark, d, "raft_log")
+    cuts = log.where("kind = 'COMPACT'")
+    asked = cuts.select("grp", "idx").union(cuts.select("grp", F.col("idx") - 1)).distinct()
+    return raftlog.term_of(asked, raftlog.survivors(log), raftlog.phantom_terms(log))
+
+
 # ---- functions
 
 
@@ -534,7 +600,7 @@ def streaming_apply(spark, d):
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_dir(spark, path) else f"{d}/kv_ops.parquet*")
     apply.apply_changes(stream, f"{root}/state", f"{root}/progress", ["user_key"], ["op_value"]).awaitTermination()
-    return apply.latest_state(spark, f"{root}/state").where("op = 'PUT'").select("user_key", "sequence", "op_value")
+    return apply.StateTable(spark, f"{root}/state", ["user_key"], ["op_value"]).read().where("op = 'PUT'").select("user_key", "sequence", "op_value")
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,6 +11,8 @@ from keystrata._util import spelled
 from keystrata.operators.changefeed import fold_changes
 
 ORDER = ["sequence", "op_idx"]
+#: Deltas after which they are folded into a new base.
+COMPACT_EVERY = 16
 
 
 def append_versions(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -21,43 +25,66 @@ def append_versions(stream: DataFrame, path: str, checkpoint: str, available_now
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def _state_dir(path: str, batch: int) -> str:
-    return f"{path}/batch={batch}"
+class StateTable:
+    """A folded change feed on storage: a base and the deltas since, each a folder named by its batch number.
+
+    A batch writes only its own fold, so the cost of a batch follows the batch and not the table; every ``COMPACT_EVERY``
+    deltas are folded into a new base. A folder counts once Spark has committed it. Reading folds base and deltas,
+    which is the same commutative maximum again, so it doesn't matter if a delta is in the base already.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], payload: list[str]):
+        self.spark, self.path, self.keys, self.payload = spark, path.rstrip("/"), keys, payload
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _numbers(self, kind: str) -> list[int]:
+        root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not self._fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
+        return sorted(int(n.rpartition("-")[2]) for n in names if n.startswith(f"{kind}-") and self._fs.exists(self._at(f"{n}/_SUCCESS")))
+
+    def _parts(self) -> list[str]:
+        bases = self._numbers("base")
+        since = [f"delta-{n}" for n in self._numbers("delta") if not bases or n > bases[-1]]
+        return [f"base-{bases[-1]}", *since] if bases else since
+
+    def read(self) -> DataFrame | None:
+        """The last change of each key, tombstones included; None before the first batch."""
+        parts = [self.spark.read.parquet(f"{self.path}/{n}") for n in self._parts()]
+        if not parts:
+            return None
+        return parts[0] if len(parts) == 1 else self._fold(reduce(DataFrame.unionByName, parts))
 
+    def _fold(self, rows: DataFrame) -> DataFrame:
+        return fold_changes(rows.withColumnRenamed("op", "op_type"), self.keys, ORDER, F.col("op_type"), self.payload)
 
-def latest_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete state, tombstones included; None before the first batch."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = []
-    if fs.exists(root):
-        for s in fs.listStatus(root):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                done.append(int(s.getPath().getName().rpartition("=")[2]))
-    return spark.read.parquet(_state_dir(path, max(done))) if done else None
+    def apply(self, changes: DataFrame, number: int, op: str = "op_type") -> None:
+        """Fold a batch in. Running the same number again writes the same rows to the same folder."""
+        name = spelled(F.col(op))
+        delta = fold_changes(changes.where(name.isin("PUT", "DELETE")), self.keys, ORDER, name, self.payload)
+        delta.write.mode("overwrite").parquet(f"{self.path}/delta-{number}")
+        bases = self._numbers("base")
+        since = [n for n in self._numbers("delta") if not bases or n > bases[-1]]
+        if len(since) >= COMPACT_EVERY:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/base-{since[-1]}")
+            if bases:  # what a reader of the base before this one may still need stays
+                for n in [*[f"delta-{n}" for n in self._numbers("delta") if n <= bases[-1]], *[f"base-{n}" for n in bases[:-1]]]:
+                    self._fs.delete(self._at(n), True)
 
 
-def apply_changes(stream: DataFrame, path: str, checkpoint: str, keys: list[str], payload: list[str], buckets: int | None = None) -> StreamingQuery:
-    """Fold a stream of changes into a state table, one new version of the table per batch.
+def apply_changes(stream: DataFrame, path: str, checkpoint: str, keys: list[str], payload: list[str]) -> StreamingQuery:
+    """Fold a stream of changes (``op_type``, keys, sequence, op_idx, payload) into a ``StateTable``, batch by batch.
 
-    A batch is folded with the state of the batch before it and written under the batch's number, so a batch that runs
-    again after a failure writes the same rows to the same place. The fold is idempotent and needs no order: copies
-    and late changes across batches do no harm, because tombstones stay in the state. The two newest states are kept.
+    The fold is idempotent and needs no order: copies and late changes across batches do no harm, because tombstones
+    stay in the state, and a batch that runs again after a failure replaces its own delta.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        numbers = sorted(int(s.getPath().getName().rpartition("=")[2]) for s in fs.listStatus(root)) if fs.exists(root) else []
-        older = [n for n in numbers if n < number]
-        base = spark.read.parquet(_state_dir(path, older[-1])) if older else None
-        op = spelled(F.col("op_type"))
-        state = fold_changes(batch.where(op.isin("PUT", "DELETE")), keys, ORDER, op, payload, base)
-        (state.coalesce(buckets) if buckets else state).write.mode("overwrite").parquet(_state_dir(path, number))
-        for n in older[:-1]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(_state_dir(path, n)), True)
+        StateTable(batch.sparkSession, path, keys, payload).apply(batch, number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -69,7 +69,7 @@ def test_point_reads(spark, mvcc):
     assert reads.snapshot(mvcc).first()[0] == 5
     assert reads.snapshot(mvcc.limit(0)).first()[0] == 0
     at = spark.createDataFrame([(1, "k05", 3), (2, "k05", 0), (3, "k05", None), (4, "k02", 2), (5, "zz", 9), (6, None, 1)], "id int, user_key string, at bigint")
-    assert {r["id"]: r["value"] for r in reads.get_as_of(mvcc, at, ["id"]).collect()} == {1: "v05-03", 2: None, 3: None, 4: "v02-02", 5: None}
+    assert {r["id"]: r["value"] for r in reads.get_as_of(mvcc, at, ["id"]).collect()} == {1: "v05-03", 2: "v05-05", 3: "v05-05", 4: "v02-02", 5: None}
 
 
 def test_merge_and_concat(spark):
@@ -232,3 +232,27 @@ def test_codecs(spark):
             codec.parse_seconds(bad)
     pairs = spark.createDataFrame([("abc", "abd"), (None, "a"), ("é", "ê"), ("", "")], "a string, b string")
     assert [r[0] for r in pairs.select(codec.shared_prefix("a", "b")).collect()] == [2, 0, 1, 0]
+
+
+def test_writes(spark, rows):
+    from keystrata.operators import writes
+
+    v = spark.createDataFrame([("a", 1, "PUT", "x")], "user_key string, sequence bigint, op string, value string")
+    after = writes.put(v, spark.createDataFrame([("b", ""), ("c", "1"), ("c", "2")], "user_key string, value string"), 2)
+    after = writes.delete(after, spark.createDataFrame([("a",), ("zz",), (None,)], "user_key string"), 3)
+    assert rows(reads.live(after)) == [("b", 2, ""), ("c", 2, "2")]
+    assert rows(reads.live(after, 2)) == [("a", 1, "x"), ("b", 2, ""), ("c", 2, "2")]
+    with pytest.raises(ValueError, match="follow"):
+        writes.delete(after, v.select("user_key"), 3)
+    with pytest.raises(ValueError, match="needs"):
+        writes.put(v, spark.createDataFrame([("b", None)], "user_key string, value string"), 9)
+    assert writes.out_of_order(after, [], [F.col("sequence"), F.col("user_key")], "sequence").count() == 3
+    cut, meta = writes.flush(after, 10, 7)
+    assert cut.count() == 5 and meta.agg(F.min("sst_id"), F.sum("n")).first() == (7, 5)
+
+
+def test_term_lookup(spark, rows):
+    held = spark.createDataFrame([(1, 5, 2, 9)], "grp bigint, idx bigint, term bigint, pos bigint")
+    gone = spark.createDataFrame([(1, 4, 1), (2, 8, 3)], "grp bigint, idx bigint, term bigint")
+    asked = spark.createDataFrame([(1, 3), (1, 4), (1, 5), (2, 1), (3, 1)], "grp bigint, idx bigint")
+    assert rows(raftlog.term_of(asked, held, gone)) == [(1, 3, None), (1, 4, 1), (1, 5, 2), (2, 1, 3), (3, 1, None)]

@@ -42,9 +42,11 @@ def test_store_choice():
         runs.store_options(minio="http://x")
 
 
-def test_stream_in_batches(spark, tmp_path, rows):
+@pytest.mark.parametrize("every", [2, 16])
+def test_stream_in_batches(spark, tmp_path, rows, monkeypatch, every):
     from keystrata.operators.changefeed import fold_changes, live
 
+    monkeypatch.setattr(apply, "COMPACT_EVERY", every)
     schema = "op_type string, user_key string, op_value string, sequence bigint, op_idx int"
     batches = [
         [("PUT", "a", "1", 1, 0), ("delete", "b", None, 9, 0), ("GET", "a", None, 0, 0)],
@@ -57,11 +59,14 @@ def test_stream_in_batches(spark, tmp_path, rows):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(src))
         apply.apply_changes(stream(), str(tmp_path / "state"), str(tmp_path / "c1"), ["user_key"], ["op_value"]).awaitTermination()
         apply.append_versions(stream(), str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
-    state = apply.latest_state(spark, str(tmp_path / "state"))
+    table = apply.StateTable(spark, str(tmp_path / "state"), ["user_key"], ["op_value"])
+    state = table.read()
     assert rows(live(state).select("user_key", "op_value")) == [("a", "1"), ("d", None)]
     assert rows(state.where("op = 'DELETE'").select("user_key", "sequence")) == [("b", 9), ("c", 4)]
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 8
     again = fold_changes(log, ["user_key"], ["sequence", "op_idx"], F.col("op"), ["value"])
     assert rows(live(again).select("user_key", "value")) == [("a", "1"), ("d", None)]
-    assert apply.latest_state(spark, str(tmp_path / "none")) is None
+    table.apply(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again
+    assert rows(table.read()) == rows(state)
+    assert apply.StateTable(spark, str(tmp_path / "none"), ["user_key"], []).read() is None
