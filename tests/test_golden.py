@@ -246,7 +246,7 @@ def test_writes(spark, rows):
         writes.delete(after, v.select("user_key"), 3)
     with pytest.raises(ValueError, match="needs"):
         writes.put(v, spark.createDataFrame([("b", None)], "user_key string, value string"), 9)
-    assert writes.out_of_order(after, [], [F.col("sequence"), F.col("user_key")], "sequence").count() == 3
+    assert writes.out_of_order(after, [], [F.col("sequence"), F.col("user_key")], "sequence").count() == 2
     cut, meta = writes.flush(after, 10, 7)
     assert cut.count() == 5 and meta.agg(F.min("sst_id"), F.sum("n")).first() == (7, 5)
 
