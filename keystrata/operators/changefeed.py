@@ -21,6 +21,8 @@ def fold_changes(
     or a NULL first order column say nothing about any key and are left out; in later order columns NULL ranks lowest.
     """
     require(changes, *keys, *order, *payload)
+    if "op" in (*keys, *order, *payload):
+        raise ValueError("the change's kind comes out as op; rename the column of that name")
     named = changes.where(F.col(order[0]).isNotNull())
     for k in keys:
         named = named.where(F.col(k).isNotNull())

@@ -18,25 +18,27 @@ def ordered(
     leads: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     next_mins: dict[str, Column] | None = None,
+    prior_maxes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Adds window results over each group's rows in ascending order.
 
     ``sums``: running sum up to and with the row; ``lags``/``leads``: value of the row before/after, NULL at the ends;
-    ``lasts``: last non-NULL value up to and with the row; ``next_mins``: smallest value of the rows after it.
+    ``lasts``: last non-NULL value up to and with the row; ``next_mins``: smallest value of the rows after it;
+    ``prior_maxes``: largest value of the rows before it.
 
     A plain window gives a whole group to one task, and without a group the whole table. Here rows are range-partitioned
     by group and order, each partition is windowed by itself, and what crosses an edge is added from a table that has a
     row for every partition in which a group goes on, hence at most as many rows as partitions. ``order`` should be
     total; rows that tie stay in one partition and fall in any order. NULLs are a group of their own and sort first.
     """
-    sums, lags, leads, lasts, next_mins = sums or {}, lags or {}, leads or {}, lasts or {}, next_mins or {}
+    sums, lags, leads, lasts, next_mins, prior_maxes = sums or {}, lags or {}, leads or {}, lasts or {}, next_mins or {}, prior_maxes or {}
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ocols = [f"{P}o{i}" for i in range(len(order))]
-    exprs = [*sums.items(), *lags.items(), *leads.items(), *lasts.items(), *next_mins.items()]
+    exprs = [*sums.items(), *lags.items(), *leads.items(), *lasts.items(), *next_mins.items(), *prior_maxes.items()]
     held = df.select("*", *[o.alias(c) for o, c in zip(order, ocols, strict=True)], *[e.alias(f"{P}v_{name}") for name, e in exprs])
     held = cut_lineage(held.repartitionByRange(n, *group, *ocols).withColumn(PID, F.spark_partition_id()))
     w = W.partitionBy(PID, *group).orderBy(*ocols)
-    upto, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    upto, after, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing), w.rowsBetween(W.unboundedPreceding, -1)
     v = lambda name: F.col(f"{P}v_{name}")
     local = [
         *[F.sum(v(c)).over(upto).alias(f"{P}w_{c}") for c in sums],
@@ -44,6 +46,7 @@ def ordered(
         *[F.lead(F.struct(v(c))).over(w).alias(f"{P}w_{c}") for c in leads],
         *[F.last(v(c), ignorenulls=True).over(upto).alias(f"{P}w_{c}") for c in lasts],
         *[F.min(v(c)).over(after).alias(f"{P}w_{c}") for c in next_mins],
+        *[F.max(v(c)).over(ahead).alias(f"{P}w_{c}") for c in prior_maxes],
     ]
     inside = held.select("*", *local)
     at = F.struct(*ocols)
@@ -54,6 +57,7 @@ def ordered(
         *[F.min_by(F.struct(v(c)), at).alias(f"{P}e_{c}") for c in leads],
         *[F.max_by(v(c), F.when(v(c).isNotNull(), at)).alias(f"{P}e_{c}") for c in lasts],
         *[F.min(v(c)).alias(f"{P}e_{c}") for c in next_mins],
+        *[F.max(v(c)).alias(f"{P}e_{c}") for c in prior_maxes],
     )
     we = W.partitionBy(*group).orderBy(PID) if group else W.partitionBy(F.lit(0)).orderBy(PID)
     before, behind = we.rowsBetween(W.unboundedPreceding, -1), we.rowsBetween(1, W.unboundedFollowing)
@@ -67,6 +71,7 @@ def ordered(
         *[F.lead(e(c)).over(we).alias(f"{P}c_{c}") for c in leads],
         *[F.last(e(c), ignorenulls=True).over(before).alias(f"{P}c_{c}") for c in lasts],
         *[F.min(e(c)).over(behind).alias(f"{P}c_{c}") for c in next_mins],
+        *[F.max(e(c)).over(before).alias(f"{P}c_{c}") for c in prior_maxes],
     ).where(F.col(f"{P}pieces") > 1)
     on = [F.col(PID) == F.col(f"{P}cp"), *[F.col(g).eqNullSafe(F.col(f"{P}cg{i}")) for i, g in enumerate(group)]]
     both = inside.join(F.broadcast(carry), on, "left")  # at most two rows a partition
@@ -76,5 +81,6 @@ def ordered(
         *[F.coalesce(mine(c), theirs(c))[f"{P}v_{c}"].alias(c) for c in [*lags, *leads]],
         *[F.coalesce(mine(c), theirs(c)).alias(c) for c in lasts],
         *[F.least(mine(c), theirs(c)).alias(c) for c in next_mins],
+        *[F.greatest(mine(c), theirs(c)).alias(c) for c in prior_maxes],
     ]
     return both.select(*df.columns, *out)

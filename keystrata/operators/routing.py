@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keystrata._util import P, checked_broadcast
+from keystrata.operators.ordered import ordered
 
-#: Ranges up to which containment is compiled into a search tree of comparisons; beyond it a join is used.
-TREE_RANGES = 512
+#: Ranges up to which containment is compiled into a search tree of comparisons; beyond it keys and starts are sorted together.
+TREE_RANGES = 128
 
 
 def _tree(key: Column, ranges: list[tuple], lo: int, hi: int) -> Column:
@@ -28,8 +29,8 @@ def route(keys: DataFrame, key: str, ranges: DataFrame, out: str = "grp") -> Dat
     """Adds the group whose ``[start_key, end_key)`` holds the key, NULL if none does or the key is NULL.
 
     A NULL ``end_key`` means no upper end; a NULL ``start_key`` no lower one. The ranges must be disjoint. Up to
-    ``TREE_RANGES`` of them become a balanced tree of comparisons, about log2(n) per row and no join at all; more
-    are matched by a range join whose small side is size-checked.
+    ``TREE_RANGES`` of them become a balanced tree of comparisons, about log2(n) per row and no join at all; with more,
+    keys and range starts are sorted together and each key takes the last start before it.
     """
     few = ranges.select("start_key", "end_key", "grp").where(F.col("grp").isNotNull()).limit(TREE_RANGES + 1).collect()
     if not few:
@@ -37,10 +38,13 @@ def route(keys: DataFrame, key: str, ranges: DataFrame, out: str = "grp") -> Dat
     if len(few) <= TREE_RANGES:
         sorted_ = sorted(((r[0], r[1], r[2]) for r in few), key=lambda r: (r[0] or "").encode())
         return keys.withColumn(out, _tree(F.col(key), sorted_, 0, len(sorted_)))
-    side = checked_broadcast(ranges.select(F.col("start_key").alias(f"{P}s"), F.col("end_key").alias(f"{P}e"), F.col("grp").alias(out)))
-    k = F.col(key)
-    inside = (F.col(f"{P}s").isNull() | (k >= F.col(f"{P}s"))) & (F.col(f"{P}e").isNull() | (k < F.col(f"{P}e")))
-    return keys.join(side, inside, "left").drop(f"{P}s", f"{P}e")
+    range_ = F.struct(F.col("end_key").alias("end"), F.col("grp").alias("grp")).alias(f"{P}r")
+    starts = ranges.where(F.col("grp").isNotNull()).select(F.coalesce("start_key", F.lit("")).alias(f"{P}k"), F.lit(0).alias(f"{P}o"), range_)
+    rows = keys.withColumn(f"{P}k", F.col(key)).withColumn(f"{P}o", F.lit(1))
+    merged = ordered(rows.unionByName(starts, allowMissingColumns=True), [], [F.col(f"{P}k"), F.col(f"{P}o")], lasts={f"{P}last": F.col(f"{P}r")})
+    inside = F.col(key).isNotNull() & (F.col(f"{P}last.end").isNull() | (F.col(key) < F.col(f"{P}last.end")))
+    got = merged.where(F.col(f"{P}o") == 1).withColumn(out, F.when(inside, F.col(f"{P}last.grp")))
+    return got.drop(f"{P}k", f"{P}o", f"{P}r", f"{P}last")
 
 
 def leaders(ranges: DataFrame) -> DataFrame:
@@ -64,9 +68,10 @@ def key_range_conflicts(ranges: DataFrame, inclusive: bool = True) -> DataFrame:
     """
     ends = F.struct(F.col("end_key").isNull().alias("open"), F.col("end_key").alias("end"))
     r = ranges.select(F.col("grp"), F.col("start_key").alias("s"), ends.alias("e"))
-    before = F.max("e").over(W.orderBy("s", "grp").rowsBetween(W.unboundedPreceding, -1))
-    touches = before["open"] | ((before["end"] >= F.col("s")) if inclusive else (before["end"] > F.col("s")))
-    late = r.withColumn("t", F.coalesce(touches, F.lit(False))).where("t").drop("t")
+    swept = ordered(r, [], [F.col("s"), F.col("grp")], prior_maxes={"before": F.col("e")})
+    end = F.col("before.end")
+    touches = F.col("before.open") | ((end >= F.col("s")) if inclusive else (end > F.col("s")))
+    late = swept.where(F.coalesce(touches, F.lit(False))).drop("before")
     a, b = r.alias("x"), late.alias("y")
 
     def reaches(e: str, s: str) -> Column:
@@ -74,7 +79,7 @@ def key_range_conflicts(ranges: DataFrame, inclusive: bool = True) -> DataFrame:
         return F.col(f"{e}.e.open") | ((end >= F.col(f"{s}.s")) if inclusive else (end > F.col(f"{s}.s")))
 
     hit = (F.col("x.grp") != F.col("y.grp")) & reaches("x", "y") & reaches("y", "x")
-    pairs = a.join(F.broadcast(b) if late.limit(10_001).count() <= 10_000 else b, hit)
+    pairs = a.join(checked_broadcast(b, 10_000), hit)
     return pairs.select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keystrata._util import spelled
+from keystrata._util import checked_broadcast, spelled
 from keystrata.functions import codec
 from keystrata.operators import compaction, manifest, merge, raftlog, reads, requests, routing, writes
 from keystrata.sources.tables import kv_versions, log_entries, manifest_diffs, table, with_runs
@@ -270,8 +270,8 @@ def flush_runs(spark, d):
 SELECT h.grp, s.sst_id FROM s JOIN h ON s.level = 1 AND NOT (s.first_key > h.hi OR s.last_key < h.lo)""")
 def compaction_inputs(spark, d):
     sst = _sst(spark, d)
-    ranges = table(spark, d, "key_range").select("grp", "start_key", "end_key")
-    picked = sst.where("level = 0").join(F.broadcast(ranges.limit(1000)), compaction.overlaps(F.col("first_key"), F.col("last_key"), F.col("start_key"), F.col("end_key")))
+    ranges = checked_broadcast(table(spark, d, "key_range").select("grp", "start_key", "end_key"))
+    picked = sst.where("level = 0").join(ranges, compaction.overlaps(F.col("first_key"), F.col("last_key"), F.col("start_key"), F.col("end_key")))
     return compaction.next_level_inputs(picked, sst, 0)
 
 

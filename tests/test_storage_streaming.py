@@ -61,6 +61,7 @@ def test_stream_in_batches(spark, tmp_path, rows, monkeypatch, every):
         apply.append_versions(stream(), str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
     table = apply.StateTable(spark, str(tmp_path / "state"), ["user_key"], ["op_value"])
     state = table.read()
+    before = rows(state)
     assert rows(live(state).select("user_key", "op_value")) == [("a", "1"), ("d", None)]
     assert rows(state.where("op = 'DELETE'").select("user_key", "sequence")) == [("b", 9), ("c", 4)]
     log = spark.read.parquet(str(tmp_path / "log"))
@@ -68,5 +69,5 @@ def test_stream_in_batches(spark, tmp_path, rows, monkeypatch, every):
     again = fold_changes(log, ["user_key"], ["sequence", "op_idx"], F.col("op"), ["value"])
     assert rows(live(again).select("user_key", "value")) == [("a", "1"), ("d", None)]
     table.apply(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again
-    assert rows(table.read()) == rows(state)
+    assert rows(table.read()) == before
     assert apply.StateTable(spark, str(tmp_path / "none"), ["user_key"], []).read() is None

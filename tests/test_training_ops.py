@@ -136,7 +136,7 @@ def test_ordered_against_plain_windows(spark, rows):
     rng.shuffle(data)
     df = spark.createDataFrame(data, "g string, o int, v int")
     for group in (["g"], []):
-        got = ordered.ordered(df, group, [F.col("o")], {"s": F.col("v")}, {"l": F.col("v")}, {"n": F.col("o")}, {"z": F.col("v")}, {"m": F.col("v")})
+        got = ordered.ordered(df, group, [F.col("o")], {"s": F.col("v")}, {"l": F.col("v")}, {"n": F.col("o")}, {"z": F.col("v")}, {"m": F.col("v")}, {"x": F.col("v")})
         want = []
         by = defaultdict(list)
         for g, o, v in sorted(data, key=lambda r: r[1]):
@@ -146,6 +146,6 @@ def test_ordered_against_plain_windows(spark, rows):
             for i, (g, o, v) in enumerate(rs):
                 total, last = total + (v or 0), v if v is not None else last
                 later = [x[2] for x in rs[i + 1 :] if x[2] is not None]
-                want.append((g, o, v, total, rs[i - 1][2] if i else None, rs[i + 1][1] if i + 1 < len(rs) else None, last, min(later, default=None)))
+                want.append((g, o, v, total, rs[i - 1][2] if i else None, rs[i + 1][1] if i + 1 < len(rs) else None, last, min(later, default=None), max((x[2] for x in rs[:i] if x[2] is not None), default=None)))
         assert rows(got) == sorted(want, key=lambda t: tuple((x is not None, x) for x in t))
     assert ordered.ordered(df.limit(0), [], [F.col("o")], {"s": F.col("v")}).count() == 0
