@@ -20,6 +20,8 @@ def frequent(rows: DataFrame, column: str, share: Fraction, hashes: int = HASHES
     hashes * buckets counters a task, however many distinct values there are. Rows with NULL count in the total.
     An empty table gives no rows.
     """
+    if column == "n":
+        raise ValueError("the count comes out as n; rename the column of that name")
     v = F.col(column)
     bucket = [F.pmod(F.xxhash64(F.lit(i), v), F.lit(buckets)).cast("int") for i in range(hashes)]
     whole = F.array(F.lit(-1))  # the bucket of all rows

@@ -118,7 +118,7 @@ def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: containers, tokens, share of the space that is used, and the fewest containers any packing needs."""
     used = packed.where("container IS NOT NULL")
     per = used.groupBy("target_id").agg(F.count_distinct("shard", "container").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    got = per.join(F.broadcast(targets.select("target_id", "capacity_tokens").limit(MAX_TARGETS)), "target_id")
+    got = per.join(targets.select("target_id", "capacity_tokens"), "target_id")
     return got.select(
         "target_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used"),
         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("at_least"),
