@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keystrata.llm import packing
 
 
-def slow_pack(sizes, capacity):
+def slow_pack(sizes, capacity, width):
     """Sum of squares by its definition."""
     bins, out = [], []
     for s in sizes:
@@ -18,7 +18,7 @@ def slow_pack(sizes, capacity):
             if s > gap or (b < len(bins) and gap == 0):
                 continue
             after = [capacity - u for i, u in enumerate(bins) if i != b] + [gap - s]
-            n = np.bincount([g for g in after if g > 0], minlength=1)
+            n = np.bincount([g // width for g in after if g >= width], minlength=1)
             key = (int((n**2).sum()), b == len(bins), gap)
             if best is None or key < best[0]:
                 best = (key, b)
@@ -31,13 +31,13 @@ def slow_pack(sizes, capacity):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 30).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=40))))
-def test_pack_follows_the_rule(case):
+@given(st.integers(1, 30).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=40))), st.integers(1, 5))
+def test_pack_follows_the_rule(case, width):
     capacity, sizes = case
-    where = packing.pack(np.array(sizes, np.int64), capacity)
+    where = packing.pack(np.array(sizes, np.int64), capacity, width)
     used = np.bincount(where, weights=sizes).astype(int).tolist() if sizes else []
     assert all(u <= capacity for u in used)
-    assert sorted(used) == sorted(slow_pack(sizes, capacity))
+    assert sorted(used) == sorted(slow_pack(sizes, capacity, width))
 
 
 @pytest.fixture
