@@ -11,6 +11,8 @@ from keystrata._util import P
 from keystrata.operators.ordered import ordered
 
 LATEST = 2**63 - 1
+#: Versions of the first page of a seek.
+SEEK_ROWS = 1024
 
 
 def visible(versions: DataFrame, snapshot: int = LATEST) -> DataFrame:
@@ -69,18 +71,25 @@ def seek(versions: DataFrame, key=None, snapshot: int = LATEST, backward: bool =
 
     At most one row ``(user_key, sequence, value, found)``. ``found`` says whether a version of exactly ``key`` is
     visible, alive or deleted, and doesn't depend on where the seek lands. ``strict`` leaves out the key itself.
+
+    The search goes by pages: the nearest ``SEEK_ROWS`` versions fix a range of keys (a top-n, no shuffle), only that
+    range is resolved, and only if all of it is dead does a larger page follow.
     """
-    v = versions
+    k, found = F.col("user_key"), False
+    v = versions.where((F.col("sequence") <= snapshot) & k.isNotNull())
     if key is not None:
-        v = v.where(F.col("user_key") <= F.lit(key) if backward else F.col("user_key") >= F.lit(key))
-    seen = visible(v, snapshot)
-    found = F.lit(False) if key is None else F.coalesce(F.max(F.when(F.col("user_key") == F.lit(key), True)), F.lit(False))
-    ok = F.col("op") == "PUT"
-    if strict and key is not None:
-        ok = ok & (F.col("user_key") != F.lit(key))
-    row = F.when(ok, F.struct("user_key", "sequence", "value"))
-    got = seen.agg((F.max(row) if backward else F.min(row)).alias("r"), found.alias("found"))
-    return got.where(F.col("r").isNotNull()).select("r.*", "found")
+        found = v.where(k == F.lit(key)).limit(1).count() > 0
+        at = F.lit(key)
+        v = v.where((k < at if strict else k <= at) if backward else (k > at if strict else k >= at))
+    order, rows = (F.desc if backward else F.asc)("user_key"), SEEK_ROWS
+    while True:
+        page = v.select("user_key").orderBy(order).limit(rows)
+        n, edge = page.agg(F.count(F.lit(1)), F.min("user_key") if backward else F.max("user_key")).first()
+        near = v.where(F.lit(False)) if edge is None else v.where(k >= F.lit(edge) if backward else k <= F.lit(edge))
+        first = live(near).orderBy(order).limit(1).withColumn("found", F.lit(found))
+        if n < rows or first.count():
+            return first
+        v, rows = v.where(k < F.lit(edge) if backward else k > F.lit(edge)), rows * 16
 
 
 def seek_found(versions: DataFrame, key, snapshot: int = LATEST) -> DataFrame:

@@ -27,6 +27,13 @@ def write_run(versions: DataFrame, path: str, level: int = 0, options: LsmOption
     out.parquet(path)
 
 
+def write_bucketed(versions: DataFrame, name: str, buckets: int) -> None:
+    """Save versions as a table bucketed by key and sorted by key and sequence: newest-per-key reads and joins on the key
+    then need no exchange."""
+    rows = versions.select(*COLUMNS).repartition(buckets, "user_key")
+    rows.write.mode("errorifexists").bucketBy(buckets, "user_key").sortBy("user_key", "sequence").saveAsTable(name)
+
+
 def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths).select(*COLUMNS)
 

@@ -256,3 +256,34 @@ def test_term_lookup(spark, rows):
     gone = spark.createDataFrame([(1, 4, 1), (2, 8, 3)], "grp bigint, idx bigint, term bigint")
     asked = spark.createDataFrame([(1, 3), (1, 4), (1, 5), (2, 1), (3, 1)], "grp bigint, idx bigint")
     assert rows(raftlog.term_of(asked, held, gone)) == [(1, 3, None), (1, 4, 1), (1, 5, 2), (2, 1, 3), (3, 1, None)]
+
+
+def test_seek_goes_on_past_dead_pages(spark, monkeypatch):
+    monkeypatch.setattr(reads, "SEEK_ROWS", 4)
+    dead = [(f"d{i:03d}", s, op, "x" if op == "PUT" else None) for i in range(40) for s, op in ((1, "PUT"), (2, "DELETE"))]
+    v = spark.createDataFrame([("a", 1, "PUT", "va"), *dead, ("z", 1, "PUT", "vz")], "user_key string, sequence bigint, op string, value string")
+    assert got(reads.seek(v, "b")) == ("vz", False)
+    assert got(reads.seek(v, "y", backward=True)) == ("va", False)
+    assert got(reads.seek(v, "d001")) == ("vz", True)
+    assert got(reads.seek(v, "b", snapshot=1)) == ("x", False)
+    assert got(reads.seek(v, "zz")) is None and got(reads.seek(v.limit(0))) is None
+
+
+def test_small_operators(spark, rows):
+    assert spark.range(1).select(compaction.partition_of(F.lit("k"), [])).first()[0] == 0
+    twice = spark.createDataFrame([("k", 1, 5, "PUT", "late"), ("k", 1, 2, "PUT", "first"), ("k", 2, 7, "DELETE", None)], "user_key string, sequence bigint, pos int, op string, value string")
+    assert rows(merge.first_writer(twice, "pos").select("user_key", "sequence", "value")) == [("k", 1, "first"), ("k", 2, None)]
+    assert rows(merge.write_conflicts(twice, ["user_key", "sequence"], F.col("value"))) == [("k", 1, 2)]
+    pins = spark.createDataFrame([(1, 100), (2, 10)], "sst_id bigint, s int").select("sst_id", F.timestamp_seconds("s").alias("pinned_at"))
+    now = F.timestamp_seconds(F.lit(105))
+    assert rows(compaction.pinned(pins, now, 15)) == [(1,)]
+    assert compaction.pin(spark.createDataFrame([(1,), (3,)], "sst_id bigint"), pins, now, 15).count() == 0
+    assert compaction.pin(spark.createDataFrame([(2,), (3,)], "sst_id bigint"), pins, now, 15).count() == 2
+    from keystrata.operators import requests
+
+    asked = spark.createDataFrame([(1,), (2,)], "request_id bigint")
+    answers = spark.createDataFrame([(1, 9), (1, 7), (5, 1)], "request_id bigint, answered_at int")
+    assert rows(requests.completions(asked, answers)) == [(1, 7), (2, None)]
+    ids = asked.select(requests.command_id(F.col("request_id"), F.lit(1), F.lit(2)), requests.command_id(F.lit(None).cast("bigint"), F.lit(1), F.lit(2))).collect()
+    assert [r[0] for r in ids] == [1, 2] and ids[0][1] == ids[1][1] is not None
+    assert 0 <= spark.range(1).select(codec.shard_of(F.lit("k"), 7)).first()[0] < 7

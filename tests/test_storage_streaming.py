@@ -22,6 +22,31 @@ def test_runs(spark, tmp_path, rows):
     assert "EqualTo(user_key,k)" in plan and "op:" not in plan
 
 
+def test_bloom_filters_are_written(spark, tmp_path):
+    # a column whose dictionary stays small is looked up there; only beyond that a filter is written
+    kv = spark.range(200_000).select(F.sha1(F.col("id").cast("string")).alias("user_key"), F.col("id").alias("sequence"), F.lit("PUT").alias("op"), F.lit("v").alias("value"))
+    sizes = []
+    for bloom in (False, True):
+        path = tmp_path / str(bloom)
+        runs.write_run(kv, str(path), level=2, partitions=1, bloom=bloom)
+        sizes.append(sum(p.stat().st_size for p in path.glob("*.parquet")))
+    assert sizes[1] > sizes[0]
+
+
+def test_bucketed_reads_need_no_exchange(spark, rows):
+    from keystrata.operators.reads import live
+
+    kv = kv_versions(table(spark, BASE, "kv_ops"))
+    spark.sql("DROP TABLE IF EXISTS ks_versions")
+    try:
+        runs.write_bucketed(kv, "ks_versions", 4)
+        got = live(spark.table("ks_versions"))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got.select("user_key", "sequence")) == rows(live(kv).select("user_key", "sequence"))
+    finally:
+        spark.sql("DROP TABLE IF EXISTS ks_versions")
+
+
 def test_objects(spark, tmp_path):
     store = runs.ObjectStore(spark, str(tmp_path))
     assert store.get("a/b") is None
