@@ -73,16 +73,19 @@ def exact_quantiles(
     ranks = ranks.select(*keys, f"{P}m", F.col(f"{P}t.q").alias(f"{P}q"), f"{P}lo", f"{P}hi", F.col(f"{P}t.rank").alias(f"{P}rank"))
     heavy = ranks.where(F.col(f"{P}m") > group_limit).drop(f"{P}m")
     found = _refine(rows, keys, heavy, bins).select(*keys, f"{P}q", F.col(f"{P}lo").alias(f"{P}v"))
-    light = wanted.where(F.col(f"{P}m").between(1, group_limit))
-    if min_share is None or not light.isEmpty():
-        light = light.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], f"{P}m")
-        if min_share is not None:
-            light = checked_broadcast(light)
-        kept = rows.where(v.isNotNull()).join(light, [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)])
-        ranked = kept.withColumn(f"{P}r", F.row_number().over(W.partitionBy(*keys).orderBy(v)))
-        which = F.array(*[F.when(F.col(f"{P}r") == _rank(probs[c], F.col(f"{P}m")), F.lit(i)) for i, c in enumerate(names)])
-        sorted_ = ranked.select(*keys, F.explode(F.array_compact(which)).alias(f"{P}q"), f"{P}v")
-        found = found.unionByName(sorted_)
+    same = [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]
+    renamed = [F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)]
+    named = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(v.isNotNull())
+    if min_share is None:
+        # all keys but the heavy ones, of which there are at most rows / group_limit; their rows never reach the shuffle
+        hot = checked_broadcast(wanted.where(F.col(f"{P}m") > group_limit).select(*renamed))
+        kept = named.join(hot, same, "left_anti")
+    else:
+        kept = named.join(checked_broadcast(wanted.where(F.col(f"{P}m").between(1, group_limit)).select(*renamed)), same, "left_semi")
+    by = W.partitionBy(*keys)
+    ranked = kept.withColumn(f"{P}r", F.row_number().over(by.orderBy(v))).withColumn(f"{P}m", F.count(v).over(by))
+    which = F.array(*[F.when(F.col(f"{P}r") == _rank(probs[c], F.col(f"{P}m")), F.lit(i)) for i, c in enumerate(names)])
+    found = found.unionByName(ranked.select(*keys, F.explode(F.array_compact(which)).alias(f"{P}q"), f"{P}v"))
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col(f"{P}q") == i, v)).alias(c) for i, c in enumerate(names)])
     out = wanted.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], "n")
     both = out.join(wide, [F.col(f"{P}k{i}") == F.col(k) for i, k in enumerate(keys)], "left")
