@@ -118,6 +118,7 @@ def containers(counts: DataFrame, targets: DataFrame, docs_per_shard: int = DOCS
             }
         ).assign(container=lambda x: x["container"].mask(x["container"] < 0))
 
+    dealt = dealt.repartition(min(10_000, shards * len(wanted)), "target_id", "shard")  # few bytes, much work: not to be merged
     return dealt.groupBy("target_id", "shard").applyInPandas(one, schema)
 
 
