@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keystrata._util import P
 
-KEY_ORDER = (F.asc, "user_key"), (F.desc, "sequence")
-
-
 def merge(runs: list[DataFrame], backward: bool = False) -> DataFrame:
     """All rows of the runs in full-key order (key, newest first) or its reverse; duplicates stay."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), runs)

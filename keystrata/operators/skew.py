@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from keystrata._util import BROADCAST_ROWS, P, checked_broadcast, cut_lineage, require
 
 #: Values of a key that one task may sort; keys with more go through the histogram rounds.
-GROUP_LIMIT = 20_000
+GROUP_LIMIT = 100_000
 BINS = 4096
 
 
@@ -52,11 +52,11 @@ def exact_quantiles(
 
     The quantile p is the value of rank ``max(1, ceil(p * m))`` among the key's m non-NULL values, NULL if it has none;
     ``n`` counts all rows of the key. Keys with a NULL part come out of no group but count in the total. With
-    ``min_share`` only keys with at least that share of all rows come out, of which there are at most 1/min_share.
-    Values must lie within +-2^62.
+    ``min_share`` only keys with at least that share of all rows come out, of which there are at most 1/min_share; all of
+    them are resolved by histogram rounds. Values must lie within +-2^62.
 
-    First, mergeable counts with the extremes of each key; then keys of at most ``group_limit`` values are ranked by
-    a sort in which no group exceeds that bound, and heavier keys are resolved by histogram rounds.
+    First, mergeable counts with the extremes of each key. Keys of more than ``group_limit`` values are resolved by
+    histogram rounds; the others by a sort in which no group exceeds that bound.
     """
     require(df, *keys)
     rows = df.select(*keys, value.cast("bigint").alias(f"{P}v"))
@@ -65,7 +65,7 @@ def exact_quantiles(
     stats = cut_lineage(stats)
     wanted = stats.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     if min_share is not None:
-        total = stats.agg(F.sum("n")).first()[0] or 0
+        group_limit, total = 0, stats.agg(F.sum("n")).first()[0] or 0
         wanted = wanted.where(F.col("n") * min_share.denominator >= F.lit(total) * min_share.numerator)
     names = list(probs)
     targets = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), _rank(probs[c], F.col(f"{P}m")).alias("rank")) for i, c in enumerate(names)])).alias(f"{P}t")
@@ -73,19 +73,15 @@ def exact_quantiles(
     ranks = ranks.select(*keys, f"{P}m", F.col(f"{P}t.q").alias(f"{P}q"), f"{P}lo", f"{P}hi", F.col(f"{P}t.rank").alias(f"{P}rank"))
     heavy = ranks.where(F.col(f"{P}m") > group_limit).drop(f"{P}m")
     found = _refine(rows, keys, heavy, bins).select(*keys, f"{P}q", F.col(f"{P}lo").alias(f"{P}v"))
-    same = [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]
-    renamed = [F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)]
-    named = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(v.isNotNull())
     if min_share is None:
         # all keys but the heavy ones, of which there are at most rows / group_limit; their rows never reach the shuffle
-        hot = checked_broadcast(wanted.where(F.col(f"{P}m") > group_limit).select(*renamed))
-        kept = named.join(hot, same, "left_anti")
-    else:
-        kept = named.join(checked_broadcast(wanted.where(F.col(f"{P}m").between(1, group_limit)).select(*renamed)), same, "left_semi")
-    by = W.partitionBy(*keys)
-    ranked = kept.withColumn(f"{P}r", F.row_number().over(by.orderBy(v))).withColumn(f"{P}m", F.count(v).over(by))
-    which = F.array(*[F.when(F.col(f"{P}r") == _rank(probs[c], F.col(f"{P}m")), F.lit(i)) for i, c in enumerate(names)])
-    found = found.unionByName(ranked.select(*keys, F.explode(F.array_compact(which)).alias(f"{P}q"), f"{P}v"))
+        hot = checked_broadcast(wanted.where(F.col(f"{P}m") > group_limit).select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)]))
+        named = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(v.isNotNull())
+        kept = named.join(hot, [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)], "left_anti")
+        by = W.partitionBy(*keys)
+        ranked = kept.withColumn(f"{P}r", F.row_number().over(by.orderBy(v))).withColumn(f"{P}m", F.count(v).over(by))
+        which = F.array(*[F.when(F.col(f"{P}r") == _rank(probs[c], F.col(f"{P}m")), F.lit(i)) for i, c in enumerate(names)])
+        found = found.unionByName(ranked.select(*keys, F.explode(F.array_compact(which)).alias(f"{P}q"), f"{P}v"))
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col(f"{P}q") == i, v)).alias(c) for i, c in enumerate(names)])
     out = wanted.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], "n")
     both = out.join(wide, [F.col(f"{P}k{i}") == F.col(k) for i, k in enumerate(keys)], "left")

@@ -101,9 +101,7 @@ def _kv_state(spark: SparkSession, d: str, payload: list[str] = ()) -> DataFrame
 
 
 def _sst_state(spark: SparkSession, d: str) -> DataFrame:
-    op = spelled(F.col("op"))
-    diffs = table(spark, d, "manifest").withColumnRenamed("op", "diff_op")
-    return changefeed.fold_changes(diffs, ["sst_id", "sst_level"], ["version_id", "op_idx"], spelled(F.col("diff_op")))
+    return changefeed.fold_changes(table(spark, d, "manifest"), ["sst_id", "sst_level"], ["version_id", "op_idx"], spelled(F.col("op")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
