@@ -46,3 +46,12 @@ def log_entries(log: DataFrame) -> DataFrame:
     """ENTRY records with a complete ``(grp, term, idx)`` identifier."""
     return log.where((F.col("kind") == "ENTRY") & F.col("grp").isNotNull() & F.col("term").isNotNull() & F.col("idx").isNotNull())
 
+
+NAMES = ("kv_ops", "incoming_ops", "key_range", "raft_log", "log_runs", "manifest", "heartbeat", "events", "documents", "eval_items", "pack_targets")
+
+
+def register_views(spark: SparkSession, base: str) -> None:
+    """Temporary views of the tables, and of ``kv_versions`` made from ``kv_ops``, for Spark SQL."""
+    for name in NAMES:
+        table(spark, base, name).createOrReplaceTempView(name)
+    kv_versions(spark.table("kv_ops")).createOrReplaceTempView("kv_versions")

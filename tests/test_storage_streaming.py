@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keystrata.sources import runs
-from keystrata.sources.tables import kv_versions, table
+from keystrata.sources.tables import kv_versions, register_views, table
 from keystrata.streaming import apply
 
 BASE = "/root/testdata/sf0.001"
@@ -58,6 +58,12 @@ def test_objects(spark, tmp_path):
     assert store.get("a/b") is None
 
 
+def test_views(spark):
+    register_views(spark, BASE)
+    got = spark.sql("SELECT op, count(*) AS n FROM kv_versions GROUP BY op").collect()
+    assert {r["op"] for r in got} == {"PUT", "DELETE"}
+
+
 def test_store_choice():
     assert runs.store_options() == {}
     assert runs.store_options("s3://x/y", "minio://k:s@h:1/b") == {"root": "s3a://x/y"}
@@ -96,3 +102,25 @@ def test_stream_in_batches(spark, tmp_path, rows, monkeypatch, every):
     table.apply(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again
     assert rows(table.read()) == before
     assert apply.StateTable(spark, str(tmp_path / "none"), ["user_key"], []).read() is None
+
+
+def test_keyed_state(spark, tmp_path):
+    from keystrata.streaming.stateful import newest_changes
+
+    schema = "op_type string, user_key string, op_value string, sequence bigint, op_idx int"
+    src, seen = tmp_path / "in", []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for b in (
+            [("PUT", "a", "1", 1, 0), ("delete", "b", None, 9, 0), ("PUT", "a", "0", 0, 0)],
+            [("t_put", "b", "late", 5, 0), ("PUT", "a", "1", 1, 0), ("PUT", "c", "3", 3, 1), (None, "c", "2", 3, 0)],
+            [("DELETE", "c", None, 4, 0), ("PUT", None, "x", 8, 0), ("PUT", "a", None, 7, None)],
+        ):
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(src))
+            stream = newest_changes(spark.readStream.schema(schema).parquet(str(src)))
+            q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.append(sorted(map(tuple, df.collect())))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    seen = [s for s in seen if s]
+    assert seen == [[("a", 1, 0, "PUT", "1"), ("b", 9, 0, "DELETE", None)], [("c", 3, 1, "PUT", "3")], [("a", 7, 0, "PUT", None), ("c", 4, 0, "DELETE", None)]]
