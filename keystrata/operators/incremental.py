@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from keystrata._util import P, checked_broadcast, cut_lineage, require
@@ -41,73 +43,148 @@ def ledger_state(events: DataFrame, now: int | Column) -> DataFrame:
     return per.select("item", state.alias("state"), "token")
 
 
-class WorkLedger:
-    """A ledger kept as Parquet in a shared folder.
+class BatchTaken(Exception):
+    """Another coordinator has committed the number that this one's batch was made for."""
+
 
-    Every batch of events goes to a folder whose name is the next number of the ledger; writing it fails if it exists,
-    so of two coordinators that act on the same state one must read again. ``output_path`` depends on the item
-    alone: an attempt that is repeated overwrites what an earlier one left, and readers see each item once.
+class WorkLedger:
+    """A ledger kept as Parquet in a shared folder, for any number of coordinators at once.
+
+    A batch of events is made from the batches before it, and counts only under the number that follows those. Its rows
+    go to a folder of their own under ``batches``; the commit is a small file under ``events``, named by the number, that
+    holds the folder's name and appears whole or not at all, and only where there is none. So of two coordinators that
+    act on the same state one reads again and decides anew, and neither touches what the other is writing. Folders that
+    no commit names are never read; ``sweep`` removes old ones. ``output_path`` depends on the item alone: an attempt
+    that is repeated overwrites what an earlier one left, and readers see each item once.
     """
 
     def __init__(self, spark: SparkSession, path: str, ttl: int):
         self.spark, self.path, self.ttl = spark, path.rstrip("/"), ttl
+        self.jvm = spark.sparkContext._jvm
+
+    def _at(self, *names: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/events")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs, root
-
-    def _batches(self) -> list[str]:
-        """Committed batches in order; a folder without Spark's commit marker is a torn write and is removed."""
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            where = st.getPath()
-            if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS")):
-                out.append(where.getName())
-        return sorted(out)
+        return self._at().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> list:
+        fs, root = self._fs(), self._at(name)
+        return list(fs.listStatus(root)) if fs.exists(root) else []
+
+    def _batches(self) -> dict[int, str]:
+        """The folder of each committed batch by its number."""
+        fs, out = self._fs(), {}
+        for st in self._listed("events"):
+            if not (name := st.getPath().getName()).isdigit():
+                continue
+            stream = fs.open(st.getPath())
+            try:
+                out[int(name)] = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        return out
+
+    def _read(self) -> tuple[DataFrame, int]:
+        """The events, and the number that a batch made from them has to take."""
+        batches = self._batches()
+        folders = [f"{self.path}/batches/{b}" for b in batches.values()]
+        events = self.spark.read.schema(LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], LEDGER)
+        return events, max(batches, default=-1) + 1
 
     def events(self) -> DataFrame:
-        batches = self._batches()
-        if not batches:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*[f"{self.path}/events/{b}" for b in batches])
-
-    def _append(self, df: DataFrame) -> None:
-        last = self._batches()
-        number = int(last[-1]) + 1 if last else 0
-        fs, root = self._fs()
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"{number:012d}")
-        if fs.exists(where):
-            fs.delete(where, True)
-        df.select([F.col(f.name).cast(f.dataType) for f in LEDGER]).write.mode("errorifexists").parquet(f"{self.path}/events/{number:012d}")
+        return self._read()[0]
+
+    def _claim(self, number: int, folder: str) -> None:
+        """Commit the folder under the number; raises ``BatchTaken``, changing nothing, if the number has a commit.
+
+        The commit file is written aside and then linked (local files) or renamed without overwriting, which a shared
+        file system must do in one step, as HDFS does.
+        """
+        fs, aside, target = self._fs(), self._at("events", f"_{folder}"), self._at("events", f"{number:012d}")
+        out = fs.create(aside, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        try:
+            if fs.getScheme() == "file":
+                link, existing = (self.jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, aside))
+                self.jvm.java.nio.file.Files.createLink(link, existing)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise BatchTaken(number) from e
+            raise
+        finally:
+            fs.delete(aside, False)
+
+    def _append(self, df: DataFrame, number: int) -> None:
+        """Write a batch and commit it under ``number``; raises ``BatchTaken`` if another has it."""
+        folder = uuid.uuid4().hex
+        df.select([F.col(f.name).cast(f.dataType) for f in LEDGER]).write.mode("errorifexists").parquet(f"{self.path}/batches/{folder}")
+        try:
+            self._claim(number, folder)
+        except BatchTaken:
+            self._fs().delete(self._at("batches", folder), True)
+            raise
+
+    def _decide(self, decide: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """Append the batch that ``decide`` makes of the events, and return its result; again from the start if overtaken."""
+        while True:
+            events, number = self._read()
+            batch, result = decide(events)
+            try:
+                self._append(batch, number)
+                return result
+            except BatchTaken:
+                continue  # another batch got in, so the ledger as a whole has moved on
+
+    def sweep(self, age_ms: int) -> None:
+        """Remove folders that no commit names and that were last changed more than ``age_ms`` ago (crashed writers).
+
+        The age must exceed the time that the longest write of a batch can take.
+        """
+        fs, before = self._fs(), self.jvm.java.lang.System.currentTimeMillis() - age_ms
+        old = [st.getPath() for st in self._listed("batches") if st.getModificationTime() < before]
+        named = set(self._batches().values())
+        for p in old:
+            if p.getName() not in named:
+                fs.delete(p, True)
 
     def register(self, items: DataFrame, now: int) -> None:
         """Add items not yet known. NULL items are ignored, repeated ones count once."""
         require(items, "item")
-        known = self.events().select("item").distinct()
-        fresh = items.select("item").where(F.col("item").isNotNull()).distinct().join(known, "item", "left_anti")
-        self._append(fresh.select("item", F.lit("PENDING").alias("event"), F.lit(0).alias("token"), F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")))
+
+        def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+            known = events.select("item").distinct()
+            fresh = items.select("item").where(F.col("item").isNotNull()).distinct().join(known, "item", "left_anti")
+            return fresh.select("item", F.lit("PENDING").alias("event"), F.lit(0).alias("token"), F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")), fresh
+
+        self._decide(decide)
 
     def state(self, now: int) -> DataFrame:
         return ledger_state(self.events(), now)
 
     def lease(self, worker: str, n: int, now: int) -> DataFrame:
         """Lease up to ``n`` pending items, lowest names first, each under the next token; returns ``(item, token)``."""
-        free = self.state(now).where(F.col("state") == "pending").orderBy("item").limit(n)
-        taken = cut_lineage(free.select("item", (F.col("token") + 1).alias("token")))
-        self._append(taken.select("item", F.lit("LEASED").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(now + self.ttl).alias("until")))
-        return taken
+
+        def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+            free = ledger_state(events, now).where(F.col("state") == "pending").orderBy("item").limit(n)
+            taken = cut_lineage(free.select("item", (F.col("token") + 1).alias("token")))
+            return taken.select("item", F.lit("LEASED").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(now + self.ttl).alias("until")), taken
+
+        return self._decide(decide)
 
     def complete(self, leased: DataFrame, worker: str, now: int) -> DataFrame:
         """Record leased items as done; returns the accepted ``(item, token)``. Stale tokens are rejected."""
-        current = self.state(now).where(F.col("state") != "done")
-        good = cut_lineage(leased.select("item", "token").join(current.select("item", "token"), ["item", "token"], "left_semi"))
-        self._append(good.select("item", F.lit("DONE").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")))
-        return good
+
+        def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+            current = ledger_state(events, now).where(F.col("state") != "done")
+            good = cut_lineage(leased.select("item", "token").join(current.select("item", "token"), ["item", "token"], "left_semi"))
+            return good.select("item", F.lit("DONE").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")), good
+
+        return self._decide(decide)
 
     def output_path(self, item: str) -> str:
         return f"{self.path}/out/item={item}"

@@ -57,6 +57,58 @@ def test_ledger_rejects_stale_writers(spark, tmp_path):
     assert {r["item"]: r["state"] for r in incremental.ledger_state(events, 20).collect()}["i"] == "pending"
 
 
+def test_leases_that_interleave(spark, tmp_path, monkeypatch):
+    one, two = (incremental.WorkLedger(spark, str(tmp_path / "ledger"), ttl=10) for _ in range(2))
+    one.register(spark.createDataFrame([(x,) for x in "abcd"], "item string"), 0)
+    plain, between = incremental.cut_lineage, []
+
+    def cut(df):
+        got = plain(df)
+        if not between:  # the second worker's whole lease falls between the first one's reading and writing
+            between.append(None)
+            between[0] = two.lease("two", 2, 0).collect()
+        return got
+
+    monkeypatch.setattr(incremental, "cut_lineage", cut)
+    mine = one.lease("one", 2, 0).collect()
+    assert [r["item"] for r in between[0]] == ["a", "b"] and [r["item"] for r in mine] == ["c", "d"]
+    leases = one.events().where("event = 'LEASED'").groupBy("item", "token").count().collect()
+    assert len(leases) == 4 and all(r["count"] == 1 for r in leases)
+    # a completion that is overtaken by the next lease of its items is stale
+    between.clear()
+    monkeypatch.setattr(incremental, "cut_lineage", lambda df: (plain(df), between or between.append(1) or two.lease("two", 9, 50))[0])
+    assert one.complete(spark.createDataFrame(mine), "one", 50).count() == 0
+
+
+def test_writes_of_batches_at_once(spark, tmp_path):
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    one, two = (incremental.WorkLedger(spark, str(tmp_path / "ledger"), ttl=10) for _ in range(2))
+
+    @F.udf("string")
+    def slow(x):
+        time.sleep(4)
+        return x
+
+    late = spark.createDataFrame([("slow",)], "item string").coalesce(1).select(slow("item").alias("item"))
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(one.register, late, 0)
+        while not first.done() and not list((tmp_path / "ledger").rglob("_temporary")):
+            time.sleep(0.05)
+        two.register(spark.createDataFrame([("quick",)], "item string"), 0)
+        first.result()
+    assert sorted(r["item"] for r in one.state(0).collect()) == ["quick", "slow"]
+    torn = tmp_path / "ledger/batches/torn"
+    torn.mkdir()
+    kept = sorted((tmp_path / "ledger/batches").iterdir())
+    one.sweep(3_600_000)
+    assert sorted((tmp_path / "ledger/batches").iterdir()) == kept
+    time.sleep(0.1)
+    one.sweep(0)
+    assert not torn.exists() and one.state(0).count() == 2
+
+
 def test_pending_messages(spark, rows):
     e = spark.createDataFrame([(1, 1, 1, 7, 10), (1, 1, 1, 8, 5), (1, 1, 2, 7, 11), (1, 1, 3, 9, 1), (None, 1, 4, 7, 1), (1, 1, 5, None, 1), (1, 1, 6, 7, None)], "grp bigint, term bigint, idx bigint, file_id bigint, pos bigint")
     runs = spark.createDataFrame([(7, "ok", 10), (7, " OK", 8), (8, "FAILED", 99), (8, None, 99), (7, "OK", None)], "file_id bigint, outcome string, read_pos bigint")
