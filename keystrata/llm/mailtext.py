@@ -24,9 +24,6 @@ _INVISIBLE = re.compile("[­​-‍⁠﻿]")
 _SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W_]+")
 
-#: Levels of multiparts that are followed down.
-DEPTH = 20
-
 
 class Part(NamedTuple):
     text: str
@@ -52,7 +49,8 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
-def _walk(text: str, out: list[Part], depth: int) -> None:
+def _opened(text: str, out: list[Part]) -> list[str]:
+    """The parts that a part holds, in order; one that holds none is added to ``out`` if it is text."""
     if text.startswith("\n"):
         head, body = "", text[1:]
     else:
@@ -67,34 +65,36 @@ def _walk(text: str, out: list[Part], depth: int) -> None:
         else:
             disposition = value.strip().lower()
     media = kind.partition(";")[0].strip().lower()
-    if media.startswith("multipart/") and depth < DEPTH and (m := _BOUNDARY.search(kind)):
-        pieces = ("\n" + body).split("\n--" + (m[1] or m[2]).rstrip())
-        for piece in pieces[1:]:
+    if media.startswith("multipart/") and (m := _BOUNDARY.search(kind)):
+        held = []
+        for piece in ("\n" + body).split("\n--" + (m[1] or m[2]).rstrip())[1:]:
             if piece.startswith("--"):
                 break
-            _walk(piece.partition("\n")[2], out, depth + 1)
-        return
-    if media == "message/rfc822" and depth < DEPTH:
-        _walk(body, out, depth + 1)
-        return
+            held.append(piece.partition("\n")[2])
+        return held
+    if media == "message/rfc822":
+        return [body]
     if media.startswith("text/") or media.startswith("multipart/") or "/" not in media:
         charset = m[1] if (m := _CHARSET.search(kind)) else ""
         attached = disposition.startswith("attachment") or bool(_NAMED.search(kind))
         out.append(Part(_decoded(body, encoding, charset), media == "text/html", attached))
+    return []
 
 
 def parts(raw: str | None) -> list[Part]:
     """The text parts of a mail in order, transfer-decoded. NULL or empty texts have none.
 
     Line ends of any kind count as one; a missing end boundary ends with the text; a multipart without boundary is read
-    as plain text; binary parts are left out.
+    as plain text; binary parts are left out. Parts are opened however deep they lie; each is shorter than what holds it.
     """
     if not raw:
         return []
     if "\r" in raw:
         raw = raw.replace("\r\n", "\n").replace("\r", "\n")
     out: list[Part] = []
-    _walk(raw, out, 0)
+    waiting = [raw]
+    while waiting:
+        waiting += reversed(_opened(waiting.pop(), out))
     return out
 
 

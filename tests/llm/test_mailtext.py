@@ -32,6 +32,19 @@ def test_multiparts():
     assert words(raw) == [["plain", "words"], ["htmlly", "words", "more"], ["listed"]]
 
 
+def test_parts_at_any_depth():
+    b64 = base64.b64encode(b"deep words").decode()
+    for levels in (19, 20, 21, 60, 2000):
+        mail = f"Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n{b64}\n"
+        for i in range(levels):
+            if i % 3 == 2:
+                mail = "Content-Type: message/rfc822\n\n" + mail
+            else:
+                after = "--b%d\n\nafter\n" % i if i == 0 else ""
+                mail = f"Content-Type: multipart/mixed; boundary=b{i}x\n\n--b{i}x\n{mail}\n{after.replace('b0', 'b0x')}--b{i}x--\n"
+        assert words(mail) == [["deep", "words"], ["after"]]
+
+
 def test_html_and_odd_input():
     html = "Content-Type: text/html\n\n<p>s&#112;am &amp; &uuml;ber<span class='x'>all</span></p><td>a</td><td>b</td><a href=\"http://x.example/y?id=3\">go</a><blockquote>old <blockquote>older</blockquote> old</blockquote>new"
     assert words(html) == [["spam", "überall", "a", "b", "go", "old", "older", "old", "new"]]
