@@ -92,8 +92,8 @@ def p8_removals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_shares(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return stuffing.line_shares(documents, stuffing.train(documents))
+    lines = cut_lineage(stuffing.lines_of(table(spark, d, "documents")))
+    return stuffing.shares_of(lines, stuffing.fit_lines(lines))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

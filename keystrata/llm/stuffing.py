@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from keystrata._util import cut_lineage
 from keystrata.llm import mailtext
 from keystrata.llm._spread import spread
 
@@ -42,10 +43,11 @@ LONG, CHUNK = 20, 12
 LEVELS = (3, 3, 4, 3, 3)
 N_SYMBOLS = math.prod(LEVELS)
 SHARE = 0.5
-#: Documents, about, on which the model is fitted, and the most there can be.
-FIT_DOCS, FIT_ROUNDS = 4000, 8
-#: Symbols of a sequence that are fitted in one piece.
-FIT_LINES = 128
+FIT_ROUNDS = 8
+#: Symbols of a sequence that are fitted in one piece, and pieces that are fitted together.
+FIT_LINES, FIT_PIECES = 128, 8192
+#: Steps of one in which expected counts are summed: sums of whole numbers are the same in any order.
+UNIT = 1 << 20
 
 
 class Line(NamedTuple):
@@ -131,8 +133,8 @@ PRIOR = {
     "menu": ((0.40, 0.30, 0.30), (0.85, 0.12, 0.03), (0.03, 0.07, 0.20, 0.70), (0.30, 0.68, 0.02), (0.20, 0.60, 0.20)),
 }
 STAY = 0.9
-#: Weight of the prior table, in lines, against the fitted counts.
-PRIOR_LINES = 5000.0
+#: Weight of the prior tables, in sequences, moves and lines, against the counts of up to PRIOR_DOCS documents; of more, in proportion.
+PRIOR_STARTS, PRIOR_MOVES, PRIOR_LINES, PRIOR_DOCS = 100.0, 500.0, 5000.0, 4000
 
 
 class Model(NamedTuple):
@@ -169,46 +171,75 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return x, n, np.array([b for _, b in pieces], bool)
 
 
-def fit(sequences: list[np.ndarray], rounds: int = FIT_ROUNDS) -> Model:
-    """Baum-Welch from the prior, with the prior's tables as pseudo-counts so that states keep their meaning.
+def _times(v: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``move.T @ v`` one product at a time, so that a column doesn't depend on those beside it."""
+    out = v[0] * move[0][:, None]
+    for i in range(1, len(v)):
+        out += v[i] * move[i][:, None]
+    return out
+
+
+def expected(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """Expected counts under the model in units of 1 / ``UNIT``: starts, moves and states of symbols, flat.
 
-    All sequences take a step at a time together; long ones go in pieces.
+    A sequence adds the same whole numbers whatever it is counted with, so counts of parts of a corpus add up exactly.
+    All pieces take a step at a time together; arrays are states x pieces.
     """
-    p, model, k = prior(), prior(), len(HIDDEN)
+    k = len(HIDDEN)
     x, n, begins = _padded(sequences)
-    if not len(n):
-        rounds = min(rounds, 1)
     steps = x.shape[1]
-    open_ = [int((n > t).sum()) for t in range(steps)]
+    open_ = np.searchsorted(-n, -np.arange(steps), "left").tolist()  # pieces longer than t
+    e, move = np.ascontiguousarray(model.emission()), model.move
+    start, moved, seen = np.zeros(k), np.zeros((k, k)), np.zeros((k, N_SYMBOLS))
+    whole = lambda c: np.rint(c * UNIT)
+    forward, scales = [], []
+    for t in range(steps):
+        m = open_[t]
+        v = (model.start[:, None] if t == 0 else _times(forward[-1][:, :m], move)) * e[:, x[:m, t]]
+        scale = sum(v[1:], v[0])
+        forward.append(v / scale)
+        scales.append(scale)
+    b = np.ones((k, open_[-1] if steps else 0))
+    for t in range(steps - 1, -1, -1):
+        m = open_[t]
+        b = np.concatenate([b, np.ones((k, m - b.shape[1]))], 1)
+        g = forward[t] * b
+        g = whole(g / sum(g[1:], g[0]))
+        for s in range(k):
+            seen[s] += np.bincount(x[:m, t], g[s], N_SYMBOLS)
+        if t == 0:
+            start += g[:, begins].sum(1)
+        else:
+            eb = e[:, x[:m, t]] * b / scales[t]
+            for i in range(k):
+                moved[i] += whole(forward[t - 1][i, :m] * move[i][:, None] * eb).sum(1)
+            b = _times(eb, move.T)
+    return np.concatenate([start, moved.ravel(), seen.ravel()]).astype(np.int64)
+
+
+N_COUNTS = len(HIDDEN) * (1 + len(HIDDEN) + N_SYMBOLS)
+
+
+def refitted(counts: np.ndarray, docs: int = 0) -> Model:
+    """The model of the expected counts of ``docs`` documents, with the prior's tables as pseudo-counts so that states keep their meaning."""
+    p, k, c = prior(), len(HIDDEN), counts / UNIT
+    weight = max(1.0, docs / PRIOR_DOCS)
+    start = p.start * PRIOR_STARTS * weight + c[:k]
+    move = p.move * PRIOR_MOVES * weight + c[k : k + k * k].reshape(k, k)
+    seen = c[k + k * k :].reshape(k, N_SYMBOLS)
     digits = np.array(np.unravel_index(np.arange(N_SYMBOLS), LEVELS))
+    features = []
+    for i, base in enumerate(LEVELS):
+        f = np.stack([seen[:, digits[i] == level].sum(1) for level in range(base)], 1) + PRIOR_LINES * weight * p.features[i]
+        features.append(f / f.sum(1, keepdims=True))
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), tuple(features))
+
+
+def fit(sequences: list[np.ndarray], rounds: int = FIT_ROUNDS, docs: int = 0) -> Model:
+    """Baum-Welch from the prior on sequences of ``docs`` documents in memory; ``fit_lines`` does it on a table."""
+    model = prior()
     for _ in range(rounds):
-        e = model.emission().T
-        start, move, seen = p.start * 100, p.move * 500, np.zeros((N_SYMBOLS, k))
-        forward, scales = [], []
-        for t in range(steps):
-            m = open_[t]
-            v = (model.start if t == 0 else forward[-1][:m] @ model.move) * e[x[:m, t]]
-            scales.append(v.sum(1, keepdims=True))
-            forward.append(v / scales[-1])
-        b = np.ones((open_[-1] if steps else 0, k))
-        for t in range(steps - 1, -1, -1):
-            m = open_[t]
-            b = np.concatenate([b, np.ones((m - len(b), k))])
-            g = forward[t] * b
-            g /= g.sum(1, keepdims=True)
-            for s in range(k):
-                seen[:, s] += np.bincount(x[:m, t], g[:, s], N_SYMBOLS)
-            if t == 0:
-                start += g[begins].sum(0)
-            else:
-                eb = e[x[:m, t]] * b / scales[t]
-                move += model.move * (forward[t - 1][:m].T @ eb)
-                b = eb @ model.move.T
-        features = []
-        for i, base in enumerate(LEVELS):
-            c = np.stack([seen[digits[i] == level].sum(0) for level in range(base)], 1) + PRIOR_LINES * p.features[i]
-            features.append(c / c.sum(1, keepdims=True))
-        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), tuple(features))
+        model = refitted(expected(model, sequences), docs)
     return model
 
 
@@ -240,55 +271,97 @@ class Labeller:
         return out[::-1]
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text in b.column(0):
-            for lines in mailtext.own_lines(text.as_py()):
-                if got := part_lines(lines):
-                    out.append(np.array([x.symbol for x in got], np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
+def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, sizes, symbols, words)``: of each document, lines per text part, and all lines' symbols and words.
+
+    Numbers of 4, 2 and 4 bytes in binary columns. A NULL or empty text, or one without words, has no lines. Repeated
+    rows come out repeatedly.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("sizes", pa.binary()), ("symbols", pa.binary()), ("words", pa.binary())])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list[bytes], ...] = ([], [], [])
+            for t in b.column(1):
+                got = [part_lines(lines) for lines in mailtext.own_lines(t.as_py())]
+                flat = [x for lines in got for x in lines]
+                out[0].append(np.array([len(lines) for lines in got], np.uint32).tobytes())
+                out[1].append(np.array([x.symbol for x in flat], np.uint16).tobytes())
+                out[2].append(np.array([x.words for x in flat], np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.binary()) for x in out]], schema=schema)
+
+    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    return rows.mapInArrow(go, "doc_id bigint, sizes binary, symbols binary, words binary")
+
+
+def _parted(sizes: bytes, numbers: np.ndarray) -> list[np.ndarray]:
+    return np.split(numbers, np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)[:-1]) if sizes else []
 
 
-def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int = FIT_DOCS) -> Model:
-    """The model fitted on about ``docs`` documents, chosen by a hash of their id; at most eight text parts each on average.
+def fit_lines(lines: DataFrame, rounds: int = FIT_ROUNDS) -> Model:
+    """Baum-Welch from the prior on all rows of ``lines_of``, which should be materialised: a pass over them each round.
 
-    Only the symbols of their lines (two bytes each) come to the driver. An empty table gives the prior.
+    Each round's expected counts are summed as whole numbers, so the model depends on the rows alone, not on how they
+    lie. Some 1,700 sums come to the driver a round. An empty table gives the prior.
     """
-    n = documents.count()
-    every = max(1, n // docs)
-    chosen = documents.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0).where(F.col(text).isNotNull()).select(text)
-    got = spread(chosen).mapInArrow(_sequences, "symbols binary").limit(8 * docs).collect()
-    return fit([np.frombuffer(r[0], np.uint16) for r in sorted(got)])
+    docs, model = lines.count(), prior()
+    for _ in range(rounds):
 
+        def go(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            total, held, n = np.zeros(N_COUNTS, np.int64), [], 0
+            for b in batches:
+                for sizes, symbols in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for x in _parted(sizes, np.frombuffer(symbols, np.uint16)):
+                        held.append(x)
+                        n += -(-len(x) // FIT_LINES)
+                    if n >= FIT_PIECES:
+                        total += expected(model, held)
+                        held, n = [], 0
+            total += expected(model, held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_COUNTS, dtype=np.int32)), pa.array(total)], names=["cell", "n"])
+
+        sums = lines.select("sizes", "symbols").mapInArrow(go, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(N_COUNTS, np.int64)
+        for cell, n in sums:
+            counts[cell] = n
+        model = refitted(counts, docs)
+    return model
 
-def word_shares(raw: str | None, labeller: Labeller) -> tuple[int, list[int]]:
-    """Words of a mail's own lines, and how many lie in lines of each state."""
-    by = [0] * len(STATES)
-    for lines in mailtext.own_lines(raw):
-        got = part_lines(lines)
-        for state, line in zip(labeller.states([x.symbol for x in got]), got, strict=True):
-            by[LABEL[state]] += line.words
-    return sum(by), by
 
+def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int | None = None) -> Model:
+    """The model fitted on all documents, or on about ``docs`` of them, chosen by a hash of their id."""
+    if docs is not None:
+        documents = documents.where(F.pmod(F.xxhash64(doc_id), F.lit(max(1, documents.count() // docs))) == 0)
+    return fit_lines(cut_lineage(lines_of(documents, text, doc_id)))
 
-def line_shares(documents: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_words, prose, links, tags, menu)``: words of each document's own text by the label of their line.
 
-    One pass without a shuffle; the model (a few hundred numbers) goes out with the tasks. A NULL or empty text, or one
-    without words, has zeros. Repeated rows come out repeatedly.
+def shares_of(lines: DataFrame, model: Model) -> DataFrame:
+    """``(doc_id, n_words, prose, links, tags, menu)``: words of each row of ``lines_of`` by the label of their line.
+
+    The model (a few hundred numbers) goes out with the tasks.
     """
     labeller = Labeller(model)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), *[(s, pa.int64()) for s in STATES]])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [word_shares(t.as_py(), labeller) for t in b.column(1)]
-            cols = [b.column(0), pa.array([n for n, _ in got], pa.int64()), *[pa.array([by[k] for _, by in got], pa.int64()) for k in range(len(STATES))]]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            cols: list[list[int]] = [[] for _ in STATES]
+            for sizes, symbols, words in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                states = [s for x in _parted(sizes, np.frombuffer(symbols, np.uint16)) for s in labeller.states(x.tolist())]
+                by = [0] * len(STATES)
+                for state, n in zip(states, np.frombuffer(words, np.uint32).tolist(), strict=True):
+                    by[LABEL[state]] += n
+                for c, n in zip(cols, by, strict=True):
+                    c.append(n)
+            total = [sum(x) for x in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (total, *cols)]], schema=schema)
 
-    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
-    return rows.mapInArrow(go, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
+    return lines.mapInArrow(go, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
+
+
+def line_shares(documents: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``shares_of`` the lines of documents, in one pass without a shuffle. A text without words has zeros."""
+    return shares_of(lines_of(documents, text, doc_id), model)
 
 
 def flagged(shares: DataFrame, share: float = SHARE) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import stuffing
 
@@ -109,6 +110,23 @@ def test_fitting_raises_the_likelihood():
         assert np.allclose(part.sum(-1), 1)
 
 
+def test_model_of_all_rows_whatever_their_order(spark):
+    rng = random.Random(4)
+    docs = [(7, mail(prose(rng, 3)))] * 30 + [(i, mail(links(rng) if i % 9 == 0 else prose(rng, 3))) for i in range(300)]
+    digest = "Content-Type: multipart/digest; boundary=b\n\n" + "".join(f"--b\n\n{PROSE[i % 6]}\n" for i in range(9000)) + "--b--"
+    docs += [(10_000 + i, mail(rng.choice(PROSE))) for i in range(8100)] + [(9999, digest)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    seqs = [np.array([x.symbol for x in got], np.uint16) for _, t in docs for lines in stuffing.mailtext.own_lines(t) if (got := stuffing.part_lines(lines))]
+    want = stuffing.fit(seqs, docs=len(docs))
+    for parts in (1, 5):
+        got = stuffing.train(df.orderBy(F.rand(parts)).repartition(parts))
+        for a, b in zip((got.start, got.move, *got.features), (want.start, want.move, *want.features), strict=True):
+            assert a.tolist() == b.tolist()
+    many = stuffing.expected(want, seqs)
+    assert (many == sum(stuffing.expected(want, seqs[i : i + 7000]) for i in range(0, len(seqs), 7000))).all()
+    assert many[: len(stuffing.HIDDEN)].sum() / stuffing.UNIT == pytest.approx(len(seqs), rel=1e-3)
+
+
 def test_long_lines_come_in_pieces():
     words = " ".join(f"w{i}" for i in range(100))
     got = stuffing.part_lines([words, "", "http://a.example/b", "...", words + " http://a.example/b " + words])
