@@ -197,10 +197,10 @@ class WorkLedger:
 
 
 def claims(rows: DataFrame, owner: list[str], succeeded: Column, token: Column, position: Column) -> DataFrame:
-    """Ledger events of readers that take in a stream by position: each attempt leases, a good one is done.
+    """Attempts of readers that take in a stream by position, for ``committed``: a good one is DONE, others are LEASED.
 
-    The fencing token of such a reader is what orders its claims (the position itself for a log file, the time of
-    sending for an acknowledgement).
+    The token is what orders a reader's claims (the position itself for a log file, the time of sending for an
+    acknowledgement). These rows have no item and no end of lease, so ``ledger_state`` doesn't apply to them.
     """
     state = F.when(succeeded, "DONE").otherwise("LEASED")
     return rows.select(*owner, state.alias("event"), token.alias("token"), position.alias("position"))
@@ -209,7 +209,8 @@ def claims(rows: DataFrame, owner: list[str], succeeded: Column, token: Column,
 def committed(events: DataFrame, owner: list[str]) -> DataFrame:
     """``(owner..., token, position)`` of the DONE event with the highest token; attempts that failed leave no mark.
 
-    Attempts with a lower token than one already done (stale writers) and repeats of the same attempt change nothing.
+    LEASED events are dropped, also those with a higher token: unlike in ``ledger_state`` a later failed attempt doesn't
+    undo what an earlier one took in. DONE events with a lower token and repeats change nothing.
     """
     done = events.where((F.col("event") == "DONE") & F.col("position").isNotNull() & F.col("token").isNotNull())
     folded = done.groupBy(*owner).agg(F.max(F.struct("token", "position")).alias(f"{P}c"))
