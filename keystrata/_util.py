@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Prefix of every column an operator adds for itself, so that extra input columns can't clash.
 P = "__ks_"
 
-#: Rows up to which a side may be broadcast; beyond it the join is left to shuffle (AQE splits its skew).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; beyond either the join is left to shuffle (AQE splits its skew).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -20,22 +21,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keystrata-"))
+        sc.setCheckpointDir(named or _gone_at_exit(spark, tempfile.mkdtemp(prefix="keystrata-")))
     return sc.getCheckpointDir()
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder, removed when the session's JVM ends."""
+    return _gone_at_exit(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: later stages neither recompute nor depend on one executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the frame is counted to hold at most ``max_rows`` rows.
+def json_bytes(df: DataFrame) -> Column:
+    """Bytes of the frame's rows written as JSON, at least 16 a column: more than a hash table of them takes up in rows."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + F.lit(16 * len(df.columns))), F.lit(0))
+
+
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """The frame, materialised once, if it holds at most ``max_rows`` rows and ``max_bytes`` bytes; else None."""
+    held = cut_lineage(df.limit(max_rows + 1))
+    rows, size = held.agg(F.count(F.lit(1)), json_bytes(held)).first()
+    return held if rows <= max_rows and size <= max_bytes else None
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the frame is measured to be ``small``.
 
     Otherwise it comes back without a hint and the join shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    held = small(df, max_rows, max_bytes)
+    return df if held is None else F.broadcast(held)
 
 
 def spelled(name: Column) -> Column:

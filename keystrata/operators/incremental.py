@@ -8,7 +8,8 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from keystrata._util import P, checked_broadcast, cut_lineage, require
+from keystrata._util import P, cut_lineage, require, small
+from keystrata.operators.ordered import ordered
 
 LEDGER = T.StructType(
     [
@@ -18,29 +19,44 @@ LEDGER = T.StructType(
         T.StructField("worker", T.StringType()),
         T.StructField("at", T.LongType()),
         T.StructField("until", T.LongType()),
+        T.StructField("position", T.LongType()),  # of a DONE: how far a reader has come; NULL for an item done as a whole
     ]
 )
+EVENTS = LEDGER.names[1:]
 
 
-def ledger_state(events: DataFrame, now: int | Column) -> DataFrame:
-    """Fold ledger events into ``(item, state, token)``; state is pending, leased or done.
+def ledger_state(events: DataFrame, now: int | Column, items: list[str] | None = None, rewinds: bool = False) -> DataFrame:
+    """Fold ledger events into ``(items..., state, token, position)``; state is pending, leased or done.
 
-    An item is done if a DONE event carries the highest token ever leased for it: a writer whose lease was handed on
-    holds a lower token, so its late DONE changes nothing (fencing). A lease that has run out, or was never taken,
-    leaves the item pending. The fold is one aggregate per item and independent of the order of events.
+    Tokens rise with the leases of an item, so a DONE is accepted if the item wasn't leased under a higher token before it:
+    a writer whose lease had been handed on by then is stale, and what it reports changes nothing (fencing). A DONE
+    without a lease of its token counts for nothing either. An accepted DONE stands, whatever was leased later.
+
+    An item done as a whole (no position) is done then. An item that is a reader with a position goes on: it is done up
+    to the largest accepted position, or, if it ``rewinds``, that of the accepted DONE with the highest token. A lease that
+    is neither answered nor run out makes an item leased; else it is pending, as is one whose lease was never taken.
+
+    Events come in any order and repeated. One row per attempt is left by an aggregate with map-side combine; which
+    lease follows which is found by the ordered operator, so an item with a third of all attempts is split.
     """
+    items = items or ["item"]
     lease, done = F.col("event") == "LEASED", F.col("event") == "DONE"
-    per = events.where(F.col("item").isNotNull()).groupBy("item").agg(
-        F.coalesce(F.max(F.when(lease, F.col("token"))), F.lit(0)).alias("token"),
-        F.max(F.when(done, F.col("token"))).alias(f"{P}done"),
-        F.max(F.when(lease, F.struct("token", "until"))).alias(f"{P}lease"),
-    )
-    state = (
-        F.when(F.col(f"{P}done") == F.col("token"), "done")
-        .when(F.col(f"{P}lease.until") > (F.lit(now) if isinstance(now, int) else now), "leased")
-        .otherwise("pending")
+    named = events.where(" AND ".join(f"`{c}` IS NOT NULL" for c in items))
+    tries = named.groupBy(*items, "token").agg(
+        F.min(F.when(lease, F.col("at"))).alias(f"{P}from"), F.max(F.when(lease, F.col("until"))).alias(f"{P}until"),
+        F.min(F.when(done, F.col("at"))).alias(f"{P}done"), F.max(F.when(done, F.col("position"))).alias(f"{P}pos"),
+    )
+    leased = F.col(f"{P}from").isNotNull()
+    tried = ordered(tries, items, [F.col("token")], next_mins={f"{P}next": F.col(f"{P}from")})
+    good = leased & F.col(f"{P}done").isNotNull() & (F.col(f"{P}next").isNull() | (F.col(f"{P}next") >= F.col(f"{P}done")))
+    last = F.struct("token", F.col(f"{P}until").alias("until"), F.col(f"{P}done").isNotNull().alias("over"))
+    position = F.max(F.when(good & F.col(f"{P}pos").isNotNull(), F.struct("token", f"{P}pos")))[f"{P}pos"] if rewinds else F.max(F.when(good, F.col(f"{P}pos")))
+    per = tried.groupBy(*items).agg(
+        F.max(F.when(leased, last)).alias(f"{P}last"), F.max(good & F.col(f"{P}pos").isNull()).alias(f"{P}whole"), position.alias("position")
     )
-    return per.select("item", state.alias("state"), "token")
+    running = (F.col(f"{P}last.until") > (F.lit(now) if isinstance(now, int) else now)) & ~F.col(f"{P}last.over")
+    state = F.when(F.col(f"{P}whole") & F.col("position").isNull(), "done").when(running, "leased").otherwise("pending")
+    return per.select(*items, state.alias("state"), F.coalesce(f"{P}last.token", F.lit(0)).alias("token"), "position")
 
 
 class BatchTaken(Exception):
@@ -159,7 +175,7 @@ class WorkLedger:
         def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             known = events.select("item").distinct()
             fresh = items.select("item").where(F.col("item").isNotNull()).distinct().join(known, "item", "left_anti")
-            return fresh.select("item", F.lit("PENDING").alias("event"), F.lit(0).alias("token"), F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")), fresh
+            return fresh.select("item", F.lit("PENDING").alias("event"), F.lit(0).alias("token"), F.lit(None).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until"), F.lit(None).alias("position")), fresh
 
         self._decide(decide)
 
@@ -172,7 +188,7 @@ class WorkLedger:
         def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             free = ledger_state(events, now).where(F.col("state") == "pending").orderBy("item").limit(n)
             taken = cut_lineage(free.select("item", (F.col("token") + 1).alias("token")))
-            return taken.select("item", F.lit("LEASED").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(now + self.ttl).alias("until")), taken
+            return taken.select("item", F.lit("LEASED").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(now + self.ttl).alias("until"), F.lit(None).alias("position")), taken
 
         return self._decide(decide)
 
@@ -182,7 +198,7 @@ class WorkLedger:
         def decide(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             current = ledger_state(events, now).where(F.col("state") != "done")
             good = cut_lineage(leased.select("item", "token").join(current.select("item", "token"), ["item", "token"], "left_semi"))
-            return good.select("item", F.lit("DONE").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until")), good
+            return good.select("item", F.lit("DONE").alias("event"), "token", F.lit(worker).alias("worker"), F.lit(now).alias("at"), F.lit(None).alias("until"), F.lit(None).alias("position")), good
 
         return self._decide(decide)
 
@@ -196,51 +212,71 @@ class WorkLedger:
         return self.complete(leased, worker, clock())
 
 
-def claims(rows: DataFrame, owner: list[str], succeeded: Column, token: Column, position: Column) -> DataFrame:
-    """Attempts of readers that take in a stream by position, for ``committed``: a good one is DONE, others are LEASED.
+def attempts(rows: DataFrame, reader: list[str], token: Column, begun: Column, lease: int, over: Column, succeeded: Column, position: Column) -> DataFrame:
+    """Ledger events ``(reader..., event, token, worker, at, until, position)`` of recorded attempts of readers.
 
-    The token is what orders a reader's claims (the position itself for a log file, the time of sending for an
-    acknowledgement). These rows have no item and no end of lease, so ``ledger_state`` doesn't apply to them.
+    An attempt took a lease of ``lease`` when it had ``begun``. If it succeeded and says how far it came, it is DONE at
+    ``over``; one that was killed, failed or never answered leaves its lease to run out. Rows without reader, token or
+    beginning are no attempts.
     """
-    state = F.when(succeeded, "DONE").otherwise("LEASED")
-    return rows.select(*owner, state.alias("event"), token.alias("token"), position.alias("position"))
+    told = rows.select(*reader, token.alias("token"), begun.alias(f"{P}b"), F.coalesce(over, begun).alias(f"{P}e"), succeeded.alias(f"{P}ok"), position.alias(f"{P}p"))
+    told = told.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*reader, "token", f"{P}b"]))
+    no = F.lit(None)
+    taken = F.struct(F.lit("LEASED").alias("event"), F.col(f"{P}b").alias("at"), (F.col(f"{P}b") + F.lit(lease)).alias("until"), no.cast("bigint").alias("position"))
+    done = F.struct(F.lit("DONE").alias("event"), F.col(f"{P}e").alias("at"), no.cast("bigint").alias("until"), F.col(f"{P}p").alias("position"))
+    both = F.when(F.col(f"{P}ok") & F.col(f"{P}p").isNotNull(), F.array(taken, done)).otherwise(F.array(taken))
+    return told.select(*reader, "token", F.explode(both).alias(f"{P}v")).select(*reader, f"{P}v.event", "token", no.cast("string").alias("worker"), f"{P}v.at", f"{P}v.until", f"{P}v.position")
 
 
-def committed(events: DataFrame, owner: list[str]) -> DataFrame:
-    """``(owner..., token, position)`` of the DONE event with the highest token; attempts that failed leave no mark.
+def stretches(events: DataFrame, reader: list[str], state: DataFrame) -> DataFrame:
+    """``(reader..., upto, state, tries)``: the work between the positions that attempts of a reader came to.
 
-    LEASED events are dropped, also those with a higher token: unlike in ``ledger_state`` a later failed attempt doesn't
-    undo what an earlier one took in. DONE events with a lower token and repeats change nothing.
+    ``events`` are those of ``attempts`` with a position on every lease that knew one, ``state`` their ``ledger_state``. A
+    stretch ends at ``upto`` and begins behind the one before; it is done if it lies at or before the reader's position,
+    else in the reader's state. ``tries`` counts the attempts that reached at least so far.
     """
-    done = events.where((F.col("event") == "DONE") & F.col("position").isNotNull() & F.col("token").isNotNull())
-    folded = done.groupBy(*owner).agg(F.max(F.struct("token", "position")).alias(f"{P}c"))
-    return folded.select(*owner, f"{P}c.*")
+    ends = events.where(F.col("position").isNotNull()).groupBy(*reader, F.col("position").alias("upto")).agg(F.count_distinct("token").alias(f"{P}n"))
+    reached = ordered(ends, reader, [-F.col("upto")], sums={"tries": F.col(f"{P}n")})
+    got = reached.join(state.select(*reader, F.col("state").alias(f"{P}s"), "position"), reader)
+    done = F.coalesce(F.col("upto") <= F.col("position"), F.lit(False))
+    return got.select(*reader, "upto", F.when(done, "done").otherwise(F.col(f"{P}s")).alias("state"), "tries")
 
 
-def pending_messages(entries: DataFrame, positions: DataFrame, ids: list[str], owner: str, pos: str) -> DataFrame:
-    """The distinct identifiers of which no copy lies at or before the committed position of the copy's own owner.
+def pending_messages(entries: DataFrame, readers: DataFrame, ids: list[str], owner: str, pos: str) -> DataFrame:
+    """The distinct identifiers that the ledger hands out: no copy is done, and a copy's owner isn't under lease.
 
-    One aggregate with map-side combine per identifier; ``positions`` has one row per owner and is broadcast only if
-    counted small. Owners without a committed position have nothing taken in. Rows lacking part of ``ids`` are left out.
+    A copy is done if it lies at or before the position of its own owner. ``readers`` is a ``ledger_state`` by owner;
+    an owner that it lacks has nothing taken in and no lease. It is broadcast only if measured small. Rows at or before
+    a position travel as identifiers alone, combined on the map side. Rows lacking part of ``ids`` are left out.
     """
     require(entries, *ids, owner, pos)
-    at = checked_broadcast(positions.select(F.col(owner).alias(f"{P}o"), F.col("position").alias(f"{P}p")))
+    at = readers.select(F.col(owner).alias(f"{P}o"), F.col("position").alias(f"{P}p"), (F.col("state") == "leased").alias(f"{P}l"))
+    held = small(at)
     rows = entries.select(*ids, owner, pos).where(" AND ".join(f"`{c}` IS NOT NULL" for c in ids))
-    seen = F.coalesce(F.col(pos) <= F.col(f"{P}p"), F.lit(False))
-    marked = rows.join(at, F.col(owner) == F.col(f"{P}o"), "left").groupBy(*ids).agg(F.max(seen).alias(f"{P}seen"))
-    return marked.where(~F.col(f"{P}seen")).select(*ids)
+    seen, free = F.coalesce(F.col(pos) <= F.col(f"{P}p"), F.lit(False)), ~F.coalesce(F.col(f"{P}l"), F.lit(False))
+    marked = rows.join(at if held is None else F.broadcast(held), F.col(owner) == F.col(f"{P}o"), "left")
+    per = marked.groupBy(*ids).agg(F.max(seen).alias(f"{P}seen"), F.max(free).alias(f"{P}free"))
+    return per.where(~F.col(f"{P}seen") & F.col(f"{P}free")).select(*ids)
 
 
-def pending_versions(diffs: DataFrame, members: DataFrame, acks: DataFrame, stream: str, member: str, version: str, recorded: str) -> DataFrame:
+def pending_versions(diffs: DataFrame, members: DataFrame, readers: DataFrame, stream: str, member: str, version: str, recorded: str) -> DataFrame:
     """``(stream, member, version)`` of every recorded version that a member of the stream has not taken in.
 
-    ``acks`` has one committed row per stream and member: ``position`` is the next version wanted, ``token`` the time it
-    was sent. A version counts as taken in if it lies below that position and was recorded by then; one that was
-    recorded later, below the position, is still pending. Members are few per stream and are broadcast only if counted
-    small; each version meets the members of its own stream alone.
+    ``readers`` is a ``ledger_state`` by stream and member: ``position`` is the next version wanted, ``token`` the time of
+    the DONE that said so (``ledger_state`` with ``rewinds`` over acknowledgements alone). A version counts as taken in
+    if it lies below that position and was recorded by then; one that was recorded later, below the position, is still
+    pending. Members under lease are handed nothing. Each version meets the members of its own stream alone; where they
+    are too many to broadcast, a stream is dealt out by a hash of the version, so that no task has all of a stream.
     """
     known = diffs.where(F.col(stream).isNotNull() & F.col(version).isNotNull()).groupBy(stream, version).agg(F.min(recorded).alias(f"{P}at"))
     who = members.where(F.col(stream).isNotNull() & F.col(member).isNotNull()).select(stream, member).distinct()
-    who = checked_broadcast(who.join(acks.select(stream, member, "token", "position"), [stream, member], "left"))
+    who = who.join(readers.select(stream, member, "state", "token", "position"), [stream, member], "left").where("state IS NULL OR state != 'leased'")
     taken = F.coalesce((F.col("position") > F.col(version)) & (F.col("token") >= F.col(f"{P}at")), F.lit(False))
-    return known.join(who, stream).where(~taken).select(stream, member, version)
+    held = small(who)
+    if held is not None:
+        met = known.join(F.broadcast(held), stream)
+    else:
+        n = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = known.withColumn(f"{P}d", F.pmod(F.xxhash64(version), F.lit(n)).cast("int"))
+        met = dealt.join(who.withColumn(f"{P}d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [stream, f"{P}d"])
+    return met.where(~taken).select(stream, member, version)

@@ -76,10 +76,8 @@ def log_kv(log: DataFrame) -> DataFrame:
 
 def batches(log_entries: DataFrame) -> DataFrame:
     """``(grp, island, term, first_index, n)``: a new batch wherever term changes or the index doesn't follow the last one."""
-    step = ordered(log_entries.select("grp", "term", "idx", "pos"), ["grp"], [F.col("pos")], lags={f"{P}t": F.col("term"), f"{P}i": F.col("idx")})
-    goes_on = (F.col("term") == F.col(f"{P}t")) & (F.col("idx") == F.col(f"{P}i") + 1)
-    new = F.when(goes_on, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    numbered = ordered(step, ["grp"], [F.col("pos")], sums={"island": new})
+    starts = lambda before, now: (now["term"] != before["term"]) | (now["idx"] != before["idx"] + 1)
+    numbered = ordered(log_entries.select("grp", "term", "idx", "pos"), ["grp"], [F.col("pos")], breaks={"island": (F.struct("term", "idx"), starts)})
     return numbered.groupBy("grp", "island").agg(F.min("term").alias("term"), F.min("idx").alias("first_index"), F.count(F.lit(1)).alias("n"))
 
 

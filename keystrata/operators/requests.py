@@ -68,10 +68,7 @@ def evaluate(ops: DataFrame, versions: DataFrame) -> DataFrame:
 
 def islands(rows: DataFrame, group: list[str], order: list[Column], same: Column, extra: dict[str, Column]) -> DataFrame:
     """``(group..., island, extra...)``: aggregates of maximal runs of consecutive rows for which ``same`` has one value."""
-    held = rows.withColumn(f"{P}s", same)
-    change = ordered(held, group, order, lags={f"{P}prev": F.col(f"{P}s")})
-    new = F.when(F.col(f"{P}s").eqNullSafe(F.col(f"{P}prev")), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    numbered = ordered(change, group, order, sums={"island": new})
+    numbered = ordered(rows, group, order, breaks={"island": (same, lambda before, now: ~before.eqNullSafe(now))})
     return numbered.groupBy(*group, "island").agg(*[e.alias(c) for c, e in extra.items()])
 
 

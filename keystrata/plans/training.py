@@ -11,25 +11,37 @@ from keystrata.operators import changefeed, dedup, incremental, routing, skew
 from keystrata.sources.tables import log_entries, table
 
 MESSAGE = ["grp", "term", "idx"]
-LEASE_S = 3600
+LEASE_S, BEAT_S = 3600, 15
 
 
 def _ok(c: str = "outcome"):
     return F.coalesce(spelled(F.col(c)) == "OK", F.lit(False))
 
 
+def _log_readers(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger events of the log readers: a run leases its file's unread rest, and is done at the position that it came to."""
+    runs = table(spark, d, "log_runs")
+    return incremental.attempts(runs, ["file_id"], F.col("run_id"), micros(F.col("started_at")), LEASE_S * 1_000_000, micros(F.col("ended_at")), _ok(), F.col("read_pos"))
+
+
+def _all_over(events: DataFrame) -> int:
+    """When the last lease has run out."""
+    return events.agg(F.max("until")).first()[0] or 0
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = incremental.claims(table(spark, d, "log_runs"), ["file_id"], _ok(), F.col("read_pos"), F.col("read_pos"))
-    entries = log_entries(table(spark, d, "raft_log"))
-    log = incremental.pending_messages(entries, incremental.committed(runs, ["file_id"]), MESSAGE, "file_id", "pos")
-    beats = table(spark, d, "heartbeat")
+    """What the ledger hands out once every lease has been answered or has run out."""
+    runs = _log_readers(spark, d)
+    log = incremental.pending_messages(log_entries(table(spark, d, "raft_log")), incremental.ledger_state(runs, _all_over(runs), ["file_id"]), MESSAGE, "file_id", "pos")
+    beats, sent = table(spark, d, "heartbeat"), micros(F.col("sent_at"))
     wheel = ["rudder_id", "node_id"]
-    acks = incremental.claims(beats, wheel, _ok(), F.col("sent_at"), F.col("next_version_id"))
-    diffs = incremental.pending_versions(
-        table(spark, d, "manifest"), beats, incremental.committed(acks, wheel), "rudder_id", "node_id", "version_id", "recorded_at"
-    )
+    # a heartbeat that failed asked for nothing; one that succeeded is a lease answered at once
+    acks = incremental.attempts(beats.where(_ok() & F.col("next_version_id").isNotNull()), wheel, sent, sent, BEAT_S * 1_000_000, sent, F.lit(True), F.col("next_version_id"))
+    diffs = table(spark, d, "manifest").select("rudder_id", "version_id", micros(F.col("recorded_at")).alias("at"))
+    readers = incremental.ledger_state(acks, _all_over(acks), wheel, rewinds=True)
+    ahead = incremental.pending_versions(diffs, beats, readers, "rudder_id", "node_id", "version_id", "at")
     a = log.select(F.lit("log").alias("stream"), F.col("grp").alias("owner"), F.col("term").alias("member"), F.col("idx").alias("item"))
-    b = diffs.select(F.lit("manifest").alias("stream"), F.col("rudder_id").alias("owner"), F.col("node_id").alias("member"), F.col("version_id").alias("item"))
+    b = ahead.select(F.lit("manifest").alias("stream"), F.col("rudder_id").alias("owner"), F.col("node_id").alias("member"), F.col("version_id").alias("item"))
     return a.unionByName(b)
 
 
@@ -50,7 +62,11 @@ WHERE NOT coalesce(a.next_version_id > v.version_id AND a.sent_at >= v.at, false
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The work items of the log readers, one per run, as of the last start of any run, with leases of an hour."""
+    """The items that runs of the log readers name, as of the last start of any run, with leases of an hour.
+
+    An item is a file and a position; every DONE is taken as arriving now, so that a later lease of the item fences it.
+    ``p1_stretches`` has the work between positions instead, with each DONE at its own time.
+    """
     runs = table(spark, d, "log_runs").where("run_id IS NOT NULL AND file_id IS NOT NULL").dropDuplicates(["run_id"])
     at = micros(F.col("started_at"))
     event = F.when(_ok(), "DONE").otherwise("LEASED")
@@ -59,7 +75,8 @@ def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     leases = runs.select(item.alias("item"), F.lit("LEASED").alias("event"), F.col("run_id").alias("token"), until.alias("until"))
     done = runs.where(_ok()).select(item.alias("item"), event.alias("event"), F.col("run_id").alias("token"), at.alias("until"))
     now = runs.agg(F.max(at)).first()[0] or 0
-    return incremental.ledger_state(leases.unionByName(done), now)
+    events = leases.unionByName(done).select("item", "event", "token", F.lit(None).cast("string").alias("worker"), F.when(F.col("event") == "DONE", 1).otherwise(0).alias("at"), "until", F.lit(None).cast("bigint").alias("position"))
+    return incremental.ledger_state(events, now).drop("position")
 
 
 P1_LEDGER = """
@@ -73,6 +90,25 @@ FROM g JOIN i ON i.item = g.item AND i.run_id = g.token, n
 """
 
 
+def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The work of each log file between the positions that its runs came to: done, leased or pending as of the last start of any run."""
+    runs, events = table(spark, d, "log_runs"), _log_readers(spark, d)
+    now = runs.agg(F.max(micros(F.col("started_at")))).first()[0] or 0
+    state = incremental.ledger_state(events, now, ["file_id"])
+    came = runs.where("run_id IS NOT NULL AND started_at IS NOT NULL AND file_id IS NOT NULL").select("file_id", F.col("run_id").alias("token"), F.col("read_pos").alias("position"))
+    return incremental.stretches(came, ["file_id"], state)
+
+
+P1_STRETCHES = """
+WITH r AS (SELECT DISTINCT run_id, file_id, started_at, ended_at, upper(trim(outcome)) AS outcome, read_pos FROM log_runs WHERE run_id IS NOT NULL AND file_id IS NOT NULL AND started_at IS NOT NULL),
+g AS (SELECT file_id, max(read_pos) FILTER (outcome = 'OK') AS done, arg_max(started_at, run_id) AS last, arg_max(outcome = 'OK' AND read_pos IS NOT NULL, run_id) AS over FROM r GROUP BY file_id),
+e AS (SELECT DISTINCT file_id, read_pos AS upto FROM r WHERE read_pos IS NOT NULL)
+SELECT e.file_id, e.upto, CASE WHEN e.upto <= g.done THEN 'done' WHEN NOT coalesce(g.over, false) AND g.last + INTERVAL 1 HOUR > (SELECT max(started_at) FROM r) THEN 'leased' ELSE 'pending' END AS state,
+  (SELECT count(*) FROM r WHERE r.file_id = e.file_id AND r.read_pos >= e.upto) AS tries
+FROM e JOIN g ON g.file_id = e.file_id
+"""
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.repeats(log_entries(table(spark, d, "raft_log")).select(*MESSAGE, "pos"), MESSAGE, "pos").select("pos")
 
@@ -184,6 +220,7 @@ P6_GROUP_QUANTILES = _QUANTILES.format(
 CATALOGUE = {
     "p1_found": (p1_found, P1_FOUND),
     "p1_ledger": (p1_ledger, P1_LEDGER),
+    "p1_stretches": (p1_stretches, P1_STRETCHES),
     "p2_found": (p2_found, P2_FOUND),
     "p2_messages": (p2_messages, P2_MESSAGES),
     "p5_found": (p5_found, P5_FOUND),

@@ -52,8 +52,10 @@ def test_ledger_rejects_stale_writers(spark, tmp_path):
     assert led.complete(fast, "fast", 53).count() == 0
     assert led.lease("x", 9, 99).count() == 0
     # the fold itself, whatever the coordinator checked
-    events = spark.createDataFrame([("i", "LEASED", 1, "", 0, 9), ("i", "LEASED", 2, "", 5, 19), ("i", "DONE", 1, "", 6, None), ("j", "DONE", 3, "", 6, None), (None, "DONE", 1, "", 0, 0)], incremental.LEDGER)
-    assert {r["item"]: r["state"] for r in incremental.ledger_state(events, 10).collect()} == {"i": "leased", "j": "pending"}
+    told = [("i", "LEASED", 1, "", 0, 9), ("i", "LEASED", 2, "", 5, 19), ("i", "DONE", 1, "", 6, None), ("j", "DONE", 3, "", 6, None), (None, "DONE", 1, "", 0, 0)]
+    told += [("k", "LEASED", 1, "", 0, 9), ("k", "DONE", 1, "", 4, None), ("k", "LEASED", 2, "", 4, 99)]  # done before it was leased again: stands
+    events = spark.createDataFrame([(*e, None) for e in told], incremental.LEDGER)
+    assert {r["item"]: r["state"] for r in incremental.ledger_state(events, 10).collect()} == {"i": "leased", "j": "pending", "k": "done"}
     assert {r["item"]: r["state"] for r in incremental.ledger_state(events, 20).collect()}["i"] == "pending"
 
 
@@ -109,21 +111,64 @@ def test_writes_of_batches_at_once(spark, tmp_path):
     assert not torn.exists() and one.state(0).count() == 2
 
 
-def test_pending_messages(spark, rows):
-    e = spark.createDataFrame([(1, 1, 1, 7, 10), (1, 1, 1, 8, 5), (1, 1, 2, 7, 11), (1, 1, 3, 9, 1), (None, 1, 4, 7, 1), (1, 1, 5, None, 1), (1, 1, 6, 7, None)], "grp bigint, term bigint, idx bigint, file_id bigint, pos bigint")
-    runs = spark.createDataFrame([(7, "ok", 10), (7, " OK", 8), (8, "FAILED", 99), (8, None, 99), (7, "OK", None)], "file_id bigint, outcome string, read_pos bigint")
+RUNS = "file_id bigint, run bigint, begun bigint, over bigint, outcome string, read_pos bigint"
+
+
+def _readers(spark, runs, now, rewinds=False):
+    df = spark.createDataFrame(runs, RUNS)
     ok = F.coalesce(F.upper(F.trim("outcome")) == "OK", F.lit(False))
-    done = incremental.committed(incremental.claims(runs, ["file_id"], ok, F.col("read_pos"), F.col("read_pos")), ["file_id"])
-    assert rows(done) == [(7, 10, 10)]
-    got = incremental.pending_messages(e, done, ["grp", "term", "idx"], "file_id", "pos")
-    assert rows(got) == [(1, 1, 2), (1, 1, 3), (1, 1, 5), (1, 1, 6)]
-    assert incremental.pending_messages(e.limit(0), done, ["grp", "term", "idx"], "file_id", "pos").count() == 0
+    events = incremental.attempts(df, ["file_id"], F.col("run"), F.col("begun"), 10, F.col("over"), ok, F.col("read_pos"))
+    return df, incremental.ledger_state(events, now, ["file_id"], rewinds)
+
+
+def test_readers_of_positions(spark, rows):
+    runs = [
+        (7, 1, 0, 5, "ok", 10), (7, 1, 0, 5, "ok", 10), (7, 2, 5, 9, "FAILED", 20), (7, 3, 9, 12, " OK", 8),  # a later failure or a lower position undoes nothing
+        (8, 1, 0, 3, "FAILED", 99), (8, 2, 50, None, None, 99),  # a run that goes on
+        (9, 1, 0, 30, "OK", 40), (9, 2, 20, 25, "OK", 15),  # handed on at 20, so the report at 30 is stale
+        (5, 1, 0, 3, "OK", None), (None, 1, 0, 3, "OK", 4), (6, None, 0, 3, "OK", 4), (6, 1, None, 3, "OK", 4), (4, 1, 0, None, "OK", 3),
+    ]
+    df, at = _readers(spark, runs, 55)
+    assert rows(at) == [(4, "pending", 1, 3), (5, "pending", 1, None), (7, "pending", 3, 10), (8, "leased", 2, None), (9, "pending", 2, 15)]
+    assert rows(_readers(spark, runs, 60)[1])[3] == (8, "pending", 2, None)
+    assert rows(_readers(spark, runs, 60, True)[1])[2] == (7, "pending", 3, 8)
+    got = incremental.stretches(df.where("run IS NOT NULL").selectExpr("file_id", "run AS token", "read_pos AS position"), ["file_id"], at)
+    assert rows(got.where("file_id IN (7, 8, 9)")) == [(7, 8, "done", 3), (7, 10, "done", 2), (7, 20, "pending", 1), (8, 99, "leased", 2), (9, 15, "done", 2), (9, 40, "pending", 1)]
+    assert _readers(spark, [], 0)[1].count() == 0
+
+
+def test_one_reader_with_most_attempts(spark, rows):
+    rng = random.Random(11)
+    runs, t = [], 0
+    for i in range(900):
+        file = 1 if rng.random() < 0.4 else rng.randrange(2, 30)
+        runs.append((file, i, t, t + rng.randrange(1, 4), rng.choice(["OK", "FAILED", None]), rng.randrange(1000)))
+        t += 1
+    rng.shuffle(runs)
+    want = {}
+    for f, r, _, over, outcome, pos in runs:
+        later = [b for g, q, b, *_ in runs if g == f and q > r]
+        if outcome == "OK" and all(b >= over for b in later):
+            want[f] = max(want.get(f, -1), pos)
+    got = {r["file_id"]: r["position"] for r in _readers(spark, runs, 10**6)[1].collect() if r["position"] is not None}
+    assert got == want
+
+
+def test_pending_messages(spark, rows):
+    e = spark.createDataFrame([(1, 1, 1, 7, 10), (1, 1, 1, 8, 5), (1, 1, 2, 7, 11), (1, 1, 3, 9, 1), (None, 1, 4, 7, 1), (1, 1, 5, None, 1), (1, 1, 6, 7, None), (1, 1, 7, 6, 1), (1, 1, 8, 6, 1), (1, 1, 8, 9, 1)], "grp bigint, term bigint, idx bigint, file_id bigint, pos bigint")
+    at = spark.createDataFrame([(7, "pending", 1, 10), (8, "pending", 1, None), (6, "leased", 1, None)], "file_id bigint, state string, token bigint, position bigint")
+    got = incremental.pending_messages(e, at, ["grp", "term", "idx"], "file_id", "pos")
+    assert rows(got) == [(1, 1, 2), (1, 1, 3), (1, 1, 5), (1, 1, 6), (1, 1, 8)]
+    assert incremental.pending_messages(e.limit(0), at, ["grp", "term", "idx"], "file_id", "pos").count() == 0
 
 
-def test_pending_versions(spark, rows):
+@pytest.mark.parametrize("few", [True, False])
+def test_pending_versions(spark, rows, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(incremental, "small", lambda df: None)
     diffs = spark.createDataFrame([(1, 1, 10), (1, 2, 90), (1, 2, 20), (1, 3, 99), (2, 1, 5), (None, 1, 1), (1, None, 1)], "r bigint, v bigint, t bigint")
-    members = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (3, 5), (1, None)], "r bigint, n bigint")
-    acks = spark.createDataFrame([(1, 5, 4, 50)], "r bigint, n bigint, position bigint, token bigint")
+    members = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (3, 5), (1, None), (2, 9)], "r bigint, n bigint")
+    acks = spark.createDataFrame([(1, 5, "pending", 50, 4), (2, 9, "leased", 50, 1)], "r bigint, n bigint, state string, token bigint, position bigint")
     got = incremental.pending_versions(diffs, members, acks, "r", "n", "v", "t")
     assert rows(got) == [(1, 5, 3), (1, 6, 1), (1, 6, 2), (1, 6, 3)]
 
