@@ -4,85 +4,94 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from keystrata._util import BROADCAST_ROWS, P, checked_broadcast, cut_lineage, require
+from keystrata._util import P, checked_broadcast, cut_lineage, require
 
-#: Values of a key that one task may sort; keys with more go through the histogram rounds.
-GROUP_LIMIT = 100_000
 BINS = 4096
 
 
-def _rank(p: float, n) -> F.Column:
+def _rank(p: float, n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("bigint")
 
 
-def _refine(rows: DataFrame, keys: list[str], bounds: DataFrame, bins: int) -> DataFrame:
-    """Narrow every ``[lo, hi]`` to the bin that holds its rank, until each interval is one value.
+def _bins(lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of ``v`` when the span from lo to hi is cut in at most ``bins`` equal parts, in whole numbers."""
+    step = F.call_function("div", hi - lo, F.lit(bins)) + 1
+    return F.call_function("div", F.col(f"{P}v") - lo, step)
 
-    A round counts the rows of each interval in ``bins`` equal bins with mergeable sums: what is shuffled per map
-    task is bounded by the bins of the open intervals, however many rows the hot keys have. Only counts move.
-    """
-    done = None
-    lo, hi, rank, q = (F.col(f"{P}{c}") for c in ("lo", "hi", "rank", "q"))
-    while True:
-        solved = bounds.where(lo == hi)
-        done = solved if done is None else done.unionByName(solved)
-        bounds = bounds.where(lo < hi)
-        open_ = bounds.count()
-        if not open_:
-            return done
-        step = (F.floor((hi - lo) / bins) + 1).cast("bigint")
-        hint = F.broadcast if open_ <= BROADCAST_ROWS else (lambda df: df)
-        side = hint(bounds.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], f"{P}q", f"{P}lo", f"{P}hi", f"{P}rank"))
-        v = F.col(f"{P}v")
-        inside = rows.join(side, [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]).where(v.between(lo, hi))
-        hist = inside.groupBy(*keys, f"{P}q", f"{P}rank", F.floor((v - lo) / step).alias(f"{P}bin")).agg(
-            F.count(F.lit(1)).alias(f"{P}c"), F.min(v).alias(f"{P}lo"), F.max(v).alias(f"{P}hi")
-        )
-        upto = F.sum(f"{P}c").over(W.partitionBy(*keys, f"{P}q").orderBy(f"{P}bin"))
-        placed = hist.withColumn(f"{P}upto", upto).where((F.col(f"{P}upto") >= rank) & (F.col(f"{P}upto") - F.col(f"{P}c") < rank))
-        bounds = cut_lineage(placed.select(*keys, q, lo, hi, (rank - F.col(f"{P}upto") + F.col(f"{P}c")).alias(f"{P}rank")))
-
-
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: F.Column, probs: dict[str, float], min_share: Fraction | None = None, group_limit: int = GROUP_LIMIT, bins: int = BINS
-) -> DataFrame:
+
+
+def _histogram(rows: DataFrame, by: list[str], bin_: Column) -> DataFrame:
+    """Rows, least and greatest value of each bin: sums that are combined on the map side, so only counts move."""
+    v = F.col(f"{P}v")
+    return rows.groupBy(*by, bin_.alias(f"{P}bin")).agg(F.count(F.lit(1)).alias(f"{P}c"), F.min(v).alias(f"{P}lo"), F.max(v).alias(f"{P}hi"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], min_share: Fraction | None = None, bins: int = BINS) -> DataFrame:
     """``(keys..., n, <name of each prob>...)``: rows per key and exact quantiles of an integer value.
 
     The quantile p is the value of rank ``max(1, ceil(p * m))`` among the key's m non-NULL values, NULL if it has none;
     ``n`` counts all rows of the key. Keys with a NULL part come out of no group but count in the total. With
-    ``min_share`` only keys with at least that share of all rows come out, of which there are at most 1/min_share; all of
-    them are resolved by histogram rounds. Values must lie within +-2^62.
+    ``min_share`` only keys with at least that share of all rows come out, of which there are at most 1/min_share. Values
+    must lie within +-2^62.
 
-    First, mergeable counts with the extremes of each key. Keys of more than ``group_limit`` values are resolved by
-    histogram rounds; the others by a sort in which no group exceeds that bound.
+    Every key is resolved the same way, whatever its size. A first round cuts the span of all values in ``bins`` parts
+    and counts rows by key and part. The counts of a key, at most ``bins`` and one rows, give the part that holds each
+    rank; it is solved if its least and greatest value agree. Further rounds cut the parts that are still open, each for
+    itself, until all are one value. A round moves a row per map task, key and part at most, and none of the values.
     """
     require(df, *keys)
     rows = df.select(*keys, value.cast("bigint").alias(f"{P}v"))
-    v = F.col(f"{P}v")
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias(f"{P}m"), F.min(v).alias(f"{P}lo"), F.max(v).alias(f"{P}hi"))
-    stats = cut_lineage(stats)
-    wanted = stats.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    named = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    ends = rows
     if min_share is not None:
-        group_limit, total = 0, stats.agg(F.sum("n")).first()[0] or 0
-        wanted = wanted.where(F.col("n") * min_share.denominator >= F.lit(total) * min_share.numerator)
+        v = F.col(f"{P}v")
+        counts = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias(f"{P}lo"), F.max(v).alias(f"{P}hi")))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        wanted = counts.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(F.col("n") * min_share.denominator >= F.lit(total) * min_share.numerator)
+        named = named.join(F.broadcast(wanted.select(*keys)), keys, "left_semi")  # at most 1 / min_share keys
+        ends = wanted.select(F.explode(F.array(f"{P}lo", f"{P}hi")).alias(f"{P}v"))
+    least, greatest = ends.agg(F.min(f"{P}v"), F.max(f"{P}v")).first()
+    whole = _bins(F.lit(least or 0).cast("bigint"), F.lit(greatest or 0).cast("bigint"), bins)
+    hist = _histogram(named, keys, whole)
+    by = W.partitionBy(*keys)
+    c = F.col(f"{P}c")
+    upto = F.sum(F.when(F.col(f"{P}bin").isNotNull(), c)).over(by.orderBy(F.col(f"{P}bin").asc_nulls_last()))
+    placed = hist.select("*", upto.alias(f"{P}upto"), F.sum(c).over(by).alias("n"), F.coalesce(F.sum(F.when(F.col(f"{P}bin").isNotNull(), c)).over(by), F.lit(0)).alias(f"{P}m"))
     names = list(probs)
-    targets = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), _rank(probs[c], F.col(f"{P}m")).alias("rank")) for i, c in enumerate(names)])).alias(f"{P}t")
-    ranks = wanted.where(F.col(f"{P}m") > 0).select(*keys, f"{P}m", f"{P}lo", f"{P}hi", targets)
-    ranks = ranks.select(*keys, f"{P}m", F.col(f"{P}t.q").alias(f"{P}q"), f"{P}lo", f"{P}hi", F.col(f"{P}t.rank").alias(f"{P}rank"))
-    heavy = ranks.where(F.col(f"{P}m") > group_limit).drop(f"{P}m")
-    found = _refine(rows, keys, heavy, bins).select(*keys, f"{P}q", F.col(f"{P}lo").alias(f"{P}v"))
-    if min_share is None:
-        # all keys but the heavy ones, of which there are at most rows / group_limit; their rows never reach the shuffle
-        hot = checked_broadcast(wanted.where(F.col(f"{P}m") > group_limit).select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)]))
-        named = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).where(v.isNotNull())
-        kept = named.join(hot, [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)], "left_anti")
-        by = W.partitionBy(*keys)
-        ranked = kept.withColumn(f"{P}r", F.row_number().over(by.orderBy(v))).withColumn(f"{P}m", F.count(v).over(by))
-        which = F.array(*[F.when(F.col(f"{P}r") == _rank(probs[c], F.col(f"{P}m")), F.lit(i)) for i, c in enumerate(names)])
-        found = found.unionByName(ranked.select(*keys, F.explode(F.array_compact(which)).alias(f"{P}q"), f"{P}v"))
-    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col(f"{P}q") == i, v)).alias(c) for i, c in enumerate(names)])
-    out = wanted.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], "n")
-    both = out.join(wide, [F.col(f"{P}k{i}") == F.col(k) for i, k in enumerate(keys)], "left")
-    return both.select(*[F.col(f"{P}k{i}").alias(k) for i, k in enumerate(keys)], "n", *names)
+    inside = lambda r: (F.col(f"{P}upto") >= r) & (F.col(f"{P}upto") - c < r)
+    ranks = [_rank(probs[q], F.col(f"{P}m")) for q in names]
+    asked = F.array_compact(F.array(*[F.when(F.col(f"{P}bin").isNotNull() & inside(r), F.struct(F.lit(i).alias("q"), (r - F.col(f"{P}upto") + c).alias("rank"))) for i, r in enumerate(ranks)]))
+    none = F.array(F.struct(F.lit(-1).alias("q"), F.lit(0).cast("bigint").alias("rank")))  # a key without values
+    each = F.explode(F.when(F.col(f"{P}m") == 0, none).otherwise(asked)).alias(f"{P}t")
+    open_ = placed.select(*keys, "n", f"{P}lo", f"{P}hi", each).select(*keys, "n", F.col(f"{P}t.q").alias(f"{P}q"), F.col(f"{P}t.rank").alias(f"{P}rank"), f"{P}lo", f"{P}hi")
+    found = _solved(named, keys, cut_lineage(open_), bins)
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col(f"{P}q") == i, F.col(f"{P}lo"))).alias(q) for i, q in enumerate(names)])
+
+
+def _solved(rows: DataFrame, keys: list[str], bounds: DataFrame, bins: int) -> DataFrame:
+    """Narrow every ``[lo, hi]`` to the part that holds its rank, until each is one value; the columns are those of ``bounds``.
+
+    Intervals that several ranks of a key share are counted once. The rows of open intervals are found by a join with
+    them, broadcast only where they are measured to be small.
+    """
+    lo, hi, rank = (F.col(f"{P}{c}") for c in ("lo", "hi", "rank"))
+    one = lo.eqNullSafe(hi)
+    done = bounds.where(one)
+    while True:
+        bounds = bounds.where(~one)
+        if not bounds.limit(1).count():
+            return done
+        spans = bounds.select(*[F.col(k).alias(f"{P}k{i}") for i, k in enumerate(keys)], lo.alias(f"{P}a"), hi.alias(f"{P}b")).distinct()
+        a, b, v = F.col(f"{P}a"), F.col(f"{P}b"), F.col(f"{P}v")
+        same = [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]
+        within = rows.join(checked_broadcast(spans), [*same, v >= a, v <= b])
+        hist = _histogram(within, [*[f"{P}k{i}" for i in range(len(keys))], f"{P}a", f"{P}b"], _bins(a, b, bins))
+        upto = F.sum(f"{P}c").over(W.partitionBy(*[f"{P}k{i}" for i in range(len(keys))], f"{P}a", f"{P}b").orderBy(f"{P}bin"))
+        parts = hist.select("*", upto.alias(f"{P}upto")).withColumnsRenamed({f"{P}lo": f"{P}least", f"{P}hi": f"{P}most"})
+        again = [F.col(k) == F.col(f"{P}k{i}") for i, k in enumerate(keys)]
+        hit = bounds.join(parts, [*again, lo == F.col(f"{P}a"), hi == F.col(f"{P}b"), F.col(f"{P}upto") >= rank, F.col(f"{P}upto") - F.col(f"{P}c") < rank])
+        rest = (rank - F.col(f"{P}upto") + F.col(f"{P}c")).alias(f"{P}rank")
+        bounds = cut_lineage(hit.select(*keys, "n", f"{P}q", rest, F.col(f"{P}least").alias(f"{P}lo"), F.col(f"{P}most").alias(f"{P}hi")))
+        done = done.unionByName(bounds.where(one))

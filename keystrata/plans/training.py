@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keystrata._util import micros, spelled
+from keystrata._util import cut_lineage, micros, spelled
 from keystrata.operators import changefeed, dedup, incremental, routing, skew
 from keystrata.sources.tables import log_entries, table
 
@@ -184,8 +184,9 @@ def _by_group(spark: SparkSession, d: str, share: Fraction | None) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    keys = _by_key(spark, d, KEY_SHARE).select(F.lit("key").alias("kind"), F.col("user_key").alias("item"))
-    groups = _by_group(spark, d, GROUP_SHARE).select(F.lit("grp").alias("kind"), F.col("grp").cast("string").alias("item"))
+    """The keys and groups of at least the asked share, out of the frames of their resolved quantiles."""
+    keys = cut_lineage(_by_key(spark, d, KEY_SHARE)).select(F.lit("key").alias("kind"), F.col("user_key").alias("item"))
+    groups = cut_lineage(_by_group(spark, d, GROUP_SHARE)).select(F.lit("grp").alias("kind"), F.col("grp").cast("string").alias("item"))
     return keys.unionByName(groups)
 
 
