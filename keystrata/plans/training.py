@@ -130,14 +130,14 @@ WHERE kind = 'ENTRY' AND grp IS NOT NULL AND term IS NOT NULL AND idx IS NOT NUL
 """
 
 
-def _kv_state(spark: SparkSession, d: str, payload: list[str] = ()) -> DataFrame:
+def _kv_state(spark: SparkSession, d: str) -> DataFrame:
     op = spelled(F.col("op_type"))
     writes = table(spark, d, "kv_ops").where(op.isin("PUT", "DELETE"))
-    return changefeed.fold_changes(writes, ["user_key"], ["sequence", "op_idx"], op, payload)
+    return changefeed.fold_changes(writes, ["user_key"], ["sequence", "op_idx"], op, kinds=("PUT", "DELETE"))
 
 
 def _sst_state(spark: SparkSession, d: str) -> DataFrame:
-    return changefeed.fold_changes(table(spark, d, "manifest"), ["sst_id", "sst_level"], ["version_id", "op_idx"], spelled(F.col("op")))
+    return changefeed.fold_changes(table(spark, d, "manifest"), ["sst_id", "sst_level"], ["version_id", "op_idx"], spelled(F.col("op")), kinds=("INSERT", "DELETE"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +169,19 @@ SELECT user_key, sequence, op_idx FROM (SELECT user_key, sequence, op_idx, regex
   WHERE user_key IS NOT NULL AND sequence IS NOT NULL AND regexp_replace(upper(trim(op_type)), '^T_', '') IN ('PUT', 'DELETE')) t WHERE rn = 1 AND op = 'DELETE'
 """
 
+
+def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The live keys again, the odd batches folded onto the written state of the even ones."""
+    op = spelled(F.col("op_type"))
+    writes = table(spark, d, "kv_ops").where(op.isin("PUT", "DELETE"))
+    odd = F.pmod(F.coalesce("batch_id", F.lit(0)), F.lit(2)) == 1
+    how = {"keys": ["user_key"], "order": ["sequence", "op_idx"], "op": op, "kinds": ("PUT", "DELETE")}
+    base = cut_lineage(changefeed.fold_changes(writes.where(~odd), **how))
+    return changefeed.live(changefeed.fold_changes(writes.where(odd), base=base, **how)).select("user_key", "sequence")
+
+
+P5_RESUMED = P5_FOUND.partition("UNION ALL")[0].replace("'kv' AS feed, user_key AS item, -1 AS sst_level, sequence AS at", "user_key, sequence")
+
 KEY_SHARE, GROUP_SHARE = Fraction(1, 100), Fraction(1, 20)
 QUANTILES = {"p50": 0.5, "p95": 0.95}
 
@@ -226,6 +239,7 @@ CATALOGUE = {
     "p2_messages": (p2_messages, P2_MESSAGES),
     "p5_found": (p5_found, P5_FOUND),
     "p5_tombstones": (p5_tombstones, P5_TOMBSTONES),
+    "p5_resumed": (p5_resumed, P5_RESUMED),
     "p6_found": (p6_found, P6_FOUND),
     "p6_key_quantiles": (p6_key_quantiles, P6_KEY_QUANTILES),
     "p6_group_quantiles": (p6_group_quantiles, P6_GROUP_QUANTILES),

@@ -205,6 +205,28 @@ def test_change_feed_in_any_order(spark, rows):
     assert fold(feed[:0]).count() == 0
 
 
+def test_packed_fold_is_the_plain_one(spark, rows):
+    rng = random.Random(8)
+    top = [-(2**63), -5, 0, 7, 2**63 - 1]
+    feed = [(rng.choice("abc"), rng.choice(top), rng.choice([None, -(2**31), -1, 0, 3, 2**31 - 1]), rng.choice(["PUT", "DELETE"])) for _ in range(300)]
+    for n in range(1, 300, 37):
+        df = spark.createDataFrame(feed[:n], "k string, s bigint, i int, o string")
+        fold = lambda kinds: changefeed.fold_changes(df, ["k"], ["s", "i"], F.col("o"), kinds=kinds)  # noqa: B023, E731
+        assert rows(fold(("PUT", "DELETE"))) == rows(fold(()))
+    plan = fold(("PUT", "DELETE"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
+    odd = spark.createDataFrame([("a", 1, 0, "PUT"), ("a", 2, 0, "NOPE"), ("b", 1, 0, "NOPE"), ("b", 1, 0, "DELETE")], "k string, s bigint, i int, o string")
+    assert rows(changefeed.fold_changes(odd, ["k"], ["s", "i"], F.col("o"), kinds=("PUT", "DELETE"))) == [("a", 2, 0, None), ("b", 1, 0, "DELETE")]
+
+
+def test_copies_are_counted_once(spark):
+    """One scan for the count, which is kept, and one for each side of the split."""
+    df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "a int, o int, n string")
+    got = dedup.one_copy_each(df, ["a"], "o")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("count(1)") == 0 and plan.count("Join LeftAnti") == 1 and plan.count("Join LeftSemi") == 1
+
+
 @pytest.mark.parametrize(("few", "bins"), [(True, 16), (False, 16), (True, 4096)])
 def test_quantiles_against_brute_force(spark, monkeypatch, few, bins):
     if not few:
