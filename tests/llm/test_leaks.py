@@ -88,9 +88,62 @@ def test_leaks_against_brute_force(spark):
     assert fmindex.leaked_spans(df.limit(0), it).count() == 0 and fmindex.leaked_spans(df, it.limit(0)).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(fmindex, "BLOCK_ITEMS", 3)
+def test_blocks_of_items(spark):
+    """Each block is a pass over indexes that are built once, with the rows that a single block gives."""
+    items = [(i, " ".join(f"i{i % 7}w{k}" for k in range(14))) for i in range(10)]
+    docs = [(i, mail("see: " + items[i][1] + f" end{i}")) for i in range(10)] * 3 + [(None, mail(items[0][1]))]
+    d, it = spark.createDataFrame(docs, "doc_id int, text string").repartition(4), spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    want = fmindex.leaked_spans(d, it)
+    assert {tuple(r) for r in fmindex.leaks(want).collect()} >= {(i, i) for i in range(10)} | {(0, 7), (7, 0), (None, 0)}
+    for chars in (200, 10**6):
+        got = fmindex.leaked_spans(d, it, block_chars=chars)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    kept = fmindex.index(d, shard_words=200)
+    assert 4 <= kept.count() <= 8
+    assert sorted(map(str, fmindex.search(kept, items).collect())) == sorted(map(str, want.collect()))
+
+
+def test_each_shard_is_indexed_once(spark, tmp_path, monkeypatch):
+    """Counted by a file that each build leaves, however many blocks there are."""
+    built = fmindex._shards
+
+    def counted(batches, words, least):
+        import uuid
+
+        for shard in built(batches, words, least):
+            (tmp_path / uuid.uuid4().hex).touch()
+            yield shard
+
+    monkeypatch.setattr(fmindex, "_shards", counted)
+    monkeypatch.setattr(fmindex, "index", _local(fmindex.index, _shards=counted))
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(10)]
-    docs = [(i, mail("see: " + items[i][1] + " end")) for i in range(10)]
-    got = fmindex.leaks(fmindex.leaked_spans(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id bigint, text string")))
-    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(10)]
+    d = spark.createDataFrame([(i, mail(items[i][1])) for i in range(10)], "doc_id int, text string").coalesce(2)
+    got = fmindex.leaked_spans(d, spark.createDataFrame(items, "item_id bigint, text string"), block_chars=150)
+    assert got.count() == 10
+    builds = len(list(tmp_path.iterdir()))
+    assert builds == fmindex.index(d).count() < 10
+
+
+def _local(f, **names):
+    """The function with some of its module's names replaced, so that what it sends to the workers carries them."""
+    import types
+
+    return types.FunctionType(f.__code__, f.__globals__ | names, f.__name__, f.__defaults__, f.__closure__)
+
+
+def test_mails_of_the_smallest_tables_against_plain_python(spark):
+    base = "/root/testdata/sf0.001"
+    items = [(r[0], mailtext.words(r[1] or "")) for r in spark.read.parquet(f"{base}/eval_items.parquet").select("item_id", "text").collect()]
+    phrase = {}
+    for i, w in items:
+        for k in range(len(w) - 11):
+            phrase.setdefault(tuple(w[k : k + 12]), set()).add(i)
+    want = set()
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text")
+    for d, t in docs.collect():
+        for p in mailtext.parts(t):
+            w = mailtext.part_words(p)
+            for k in range(len(w) - 11):
+                want |= {(d, i) for i in phrase.get(tuple(w[k : k + 12]), ())}
+    got = fmindex.leaks(fmindex.leaked_spans(docs, spark.read.parquet(f"{base}/eval_items.parquet")))
+    assert {tuple(r) for r in got.collect()} == want and want
