@@ -48,6 +48,21 @@ def varint_length(n: Column) -> Column:
     return out
 
 
+def varint(n: Column) -> Column:
+    """An unsigned 32-bit number in groups of 7 bits, lowest first; all but the last have the top bit set."""
+    byte = lambda i, more: F.lpad(F.hex(F.shiftrightunsigned(n.cast("bigint"), 7 * i).bitwiseAND(127) + (128 if more else 0)), 2, "0")
+    out = None
+    for size in range(1, 6):
+        coded = F.concat(*[byte(i, i + 1 < size) for i in range(size)])
+        out = F.when(n < F.lit(1 << 7 * size), coded) if out is None else out.when(n < F.lit(1 << min(7 * size, 32)), coded)
+    return F.unhex(out)
+
+
+def length_prefixed(data: Column) -> Column:
+    """A slice behind the varint of its length."""
+    return F.concat(varint(F.length(data)), data)
+
+
 def crc32(data: Column) -> Column:
     return F.crc32(data)
 
@@ -63,11 +78,12 @@ def shared_prefix(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 
 
 def align_up(n: Column, to: int) -> Column:
-    return F.floor((n + (to - 1)) / to) * to
+    """The least multiple of ``to`` at or above the whole number ``n``."""
+    return n + F.pmod(-n, F.lit(to))
 
 
 def align_down(n: Column, to: int) -> Column:
-    return F.floor(n / to) * to
+    return n - F.pmod(n, F.lit(to))
 
 
 def is_pow2(n: Column) -> Column:

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keystrata._util import P, checked_broadcast
+from keystrata._util import P, cut_lineage
+from keystrata.operators.intervals import overlap_pairs, seeded
 from keystrata.operators.ordered import ordered
 
 
@@ -22,6 +23,7 @@ class LsmOptions:
     pin_ttl_s: int = 15
     levels: int = 7
     compression: dict[int, str] = field(default_factory=lambda: {0: "none", 1: "none"})
+    overlapping: tuple[int, ...] = (0,)
 
     def codec(self, level: int) -> str:
         if not 0 <= level < self.levels:
@@ -73,10 +75,10 @@ def split_by_size(versions: DataFrame, capacity: int, whole_keys: bool = False)
     size = entry_bytes().cast("bigint")
     if not whole_keys:
         cut = ordered(versions, [], [F.col("user_key"), -F.col("sequence")], sums={f"{P}upto": size})
-        return cut.withColumn("chunk", F.floor((F.col(f"{P}upto") - 1) / F.lit(capacity)).cast("bigint")).drop(f"{P}upto")
+        return cut.withColumn("chunk", F.call_function("div", F.col(f"{P}upto") - 1, F.lit(capacity))).drop(f"{P}upto")
     per = versions.groupBy("user_key").agg(F.sum(size).alias(f"{P}size"))
     upto = ordered(per, [], [F.col("user_key")], sums={f"{P}upto": F.col(f"{P}size")})
-    first = upto.select("user_key", F.floor((F.col(f"{P}upto") - F.col(f"{P}size")) / F.lit(capacity)).cast("bigint").alias("chunk"))
+    first = upto.select("user_key", F.call_function("div", F.col(f"{P}upto") - F.col(f"{P}size"), F.lit(capacity)).alias("chunk"))
     return versions.join(first, "user_key")
 
 
@@ -115,10 +117,16 @@ def overlaps(first: Column, last: Column, lo: Column, hi: Column) -> Column:
     return ~((F.coalesce(first > hi, F.lit(False))) | (last < lo))
 
 
+def _met(ranges: DataFrame, ssts: DataFrame) -> DataFrame:
+    """``(range columns..., sst_id, first_key, last_key)`` of every run that overlaps a range, ends included."""
+    lo, hi = ("start_key", "end_key") if "start_key" in ranges.columns else ("first_key", "last_key")
+    runs = ssts.select("sst_id", "first_key", "last_key").where("first_key IS NOT NULL")
+    return overlap_pairs(ranges.where(F.col(lo).isNotNull()), runs, (lo, hi), ("first_key", "last_key")).select(*[F.col(f"a.{c}").alias(c) for c in ranges.columns if c not in runs.columns], "b.*")
+
+
 def l0_candidates(ssts: DataFrame, ranges: DataFrame, trigger: int, pinned: DataFrame | None = None) -> DataFrame:
     """``(grp, n)``: groups whose range overlaps at least ``trigger`` level-0 runs; groups that touch a pinned run are left out."""
-    side = checked_broadcast(ranges.select("grp", "start_key", "end_key"))
-    hit = ssts.where("level = 0").join(side, overlaps(F.col("first_key"), F.col("last_key"), F.col("start_key"), F.col("end_key")))
+    hit = _met(ranges.select("grp", "start_key", "end_key"), ssts.where("level = 0"))
     if pinned is None:
         held = F.lit(False)
     else:
@@ -127,11 +135,41 @@ def l0_candidates(ssts: DataFrame, ranges: DataFrame, trigger: int, pinned: Data
     return hit.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(held).alias(f"{P}held")).where((F.col("n") >= trigger) & ~F.col(f"{P}held")).select("grp", "n")
 
 
-def pick_runs(ssts: DataFrame, level: int, share: float, seed: int) -> DataFrame:
-    """A seeded pick of about ``share`` of a level's runs, at least one; the same seed picks the same."""
+def pick_runs(ssts: DataFrame, ranges: DataFrame, level: int, options: LsmOptions, seed: int, pinned: DataFrame | None = None) -> DataFrame:
+    """``(grp, level, sst_id)``: what each group compacts from ``level`` and takes along from the next; the same for the same seed.
+
+    Of level 0 a group takes all runs that its ranges overlap, if they are at least as many as the trigger. Of a level
+    that doesn't overlap it takes, per range, a contiguous tenth of the runs the range overlaps, at least one, from a
+    seeded place on. Of a level that overlaps it takes, per range, a seeded hundredth, at least one, and every run of the
+    level that these overlap. Runs of the next level that lie in the hull of the picked ones come along if that level
+    doesn't overlap. A group of which any run is pinned is left out.
+    """
     at = ssts.where(F.col("level") == level)
-    n = max(1, int(at.count() * share))
-    return at.orderBy(F.xxhash64(F.lit(seed), "sst_id"), "sst_id").limit(n)
+    met = cut_lineage(_met(ranges.select("grp", "start_key", "end_key").where("grp IS NOT NULL"), at))
+    if level == 0:
+        enough = met.groupBy("grp").agg(F.count_distinct("sst_id").alias("n")).where(F.col("n") >= options.l0_trigger)
+        base = met.join(enough, "grp", "left_semi")
+    else:
+        spread = level in options.overlapping
+        place = seeded(seed, F.col("sst_id")) if spread else F.col("first_key")
+        ranked = ordered(met, ["grp", "start_key"], [place, F.col("sst_id")], sums={f"{P}no": F.lit(1).cast("bigint")})
+        n = F.col(f"{P}n")
+        sized = ranked.join(met.groupBy("grp", "start_key").agg(F.count(F.lit(1)).alias(f"{P}n")), ["grp", "start_key"])
+        take = F.greatest(F.call_function("div", n, F.lit(100 if spread else 10)), F.lit(1))
+        first = F.lit(0) if spread else F.pmod(seeded(seed, F.col("grp"), F.col("start_key")), n - take + 1)
+        base = sized.where((F.col(f"{P}no") > first) & (F.col(f"{P}no") <= first + take))
+        if spread:
+            base = base.select("grp", "sst_id", "first_key", "last_key").distinct()
+            beside = overlap_pairs(base.withColumnsRenamed({"first_key": "lo", "last_key": "hi", "sst_id": "of"}), at.select("sst_id", "first_key", "last_key"), ("lo", "hi"), ("first_key", "last_key"))
+            base = base.unionByName(beside.select("a.grp", "b.*"))
+    base = cut_lineage(base.select("grp", "sst_id", "first_key", "last_key").distinct())
+    picked = base.select("grp", F.lit(level).alias("level"), "sst_id")
+    if level + 1 < options.levels and level + 1 not in options.overlapping:
+        picked = picked.unionByName(next_level_inputs(base, ssts, level).select("grp", F.lit(level + 1).alias("level"), "sst_id"))
+    if pinned is not None:
+        picked = cut_lineage(picked)
+        picked = picked.join(picked.join(pinned.select("sst_id").distinct(), "sst_id", "left_semi").select("grp").distinct(), "grp", "left_anti")
+    return picked
 
 
 def next_level_inputs(picked: DataFrame, ssts: DataFrame, level: int) -> DataFrame:
@@ -139,9 +177,8 @@ def next_level_inputs(picked: DataFrame, ssts: DataFrame, level: int) -> DataFra
 
     ``picked`` has ``grp, first_key, last_key``. Hulls are one row per group.
     """
-    hulls = checked_broadcast(picked.groupBy("grp").agg(F.min("first_key").alias(f"{P}lo"), F.max("last_key").alias(f"{P}hi")))
-    at = ssts.where(F.col("level") == level + 1)
-    return at.join(hulls, overlaps(F.col("first_key"), F.col("last_key"), F.col(f"{P}lo"), F.col(f"{P}hi"))).select("grp", "sst_id")
+    hulls = picked.groupBy("grp").agg(F.min("first_key").alias("start_key"), F.max("last_key").alias("end_key"))
+    return _met(hulls, ssts.where(F.col("level") == level + 1)).select("grp", "sst_id")
 
 
 def target_level(level: int, options: LsmOptions) -> tuple[int, str]:
@@ -150,6 +187,14 @@ def target_level(level: int, options: LsmOptions) -> tuple[int, str]:
     return to, options.codec(to)
 
 
+def plans(picked: DataFrame, options: LsmOptions) -> DataFrame:
+    """``(grp, level, target, codec, last_level, n)``: for the picks of ``pick_runs`` from a level, what the compaction writes, and from how many runs."""
+    per = picked.groupBy("grp").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
+    targets = [F.struct(F.lit(at).alias("level"), F.lit(to).alias("target"), F.lit(codec).alias("codec")) for at in range(options.levels) for to, codec in [target_level(at, options)]]
+    known = per.sparkSession.range(1).select(F.inline(F.array(*targets)))
+    return per.join(F.broadcast(known), "level").select("grp", "level", "target", "codec", (F.col("target") == options.levels - 1).alias("last_level"), "n")  # a row a level
+
+
 def compaction_diff(first: DataFrame, level: int, second: DataFrame, made: DataFrame, target: int) -> DataFrame:
     """``(sst_id, level, op, data_size)``: deletes of both inputs and inserts of the outputs."""
     gone = [x.select("sst_id", F.lit(at).alias("level"), F.lit("DELETE").alias("op"), F.lit(0).cast("bigint").alias("data_size")) for x, at in ((first, level), (second, level + 1))]

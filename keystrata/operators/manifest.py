@@ -41,7 +41,15 @@ def diffs_from(diffs: DataFrame, start: int, n: int) -> DataFrame:
     return diffs.join(F.broadcast(chosen) if n <= 100_000 else chosen, "version_id", "left_semi").orderBy("version_id", "op_idx")
 
 
+def diffs_from_each(diffs: DataFrame, start: int, n: int, stream: list[str]) -> DataFrame:
+    """The diffs of at most ``n`` versions from ``start`` on of every stream. A stream squashed beyond ``start`` goes on where it begins."""
+    ids = diffs.where(F.col("version_id") >= start).select(*stream, "version_id").distinct()
+    chosen = ordered(ids, stream, [F.col("version_id")], sums={f"{P}no": F.lit(1).cast("bigint")}).where(F.col(f"{P}no") <= n)
+    return diffs.join(chosen.select(*stream, "version_id"), [*stream, "version_id"], "left_semi")
+
+
 def squash(diffs: DataFrame, version: int) -> DataFrame:
+    """The diffs that are left when those below a version have been folded away."""
     return diffs.where(F.col("version_id") >= version)
 
 
@@ -61,32 +69,44 @@ def next_diff(new: DataFrame, diffs: DataFrame, version: int | None = None) -> D
     return new.withColumn("version_id", F.lit(latest + 1 if version is None else version))
 
 
-def insert_l0(new: DataFrame, diffs: DataFrame, next_wanted: int) -> tuple[DataFrame, DataFrame]:
-    """The manifest after new level-0 runs (``sst_id, data_size``), and all diffs from ``next_wanted`` on."""
-    numbered = ordered(new.select("sst_id", "data_size"), [], [F.col("sst_id")], sums={"op_idx": F.lit(1)})
-    rows = next_diff(numbered.select(F.col("op_idx").cast("int") - 1, "sst_id", "data_size").toDF("op_idx", "sst_id", "data_size"), diffs)
-    added = rows.select("version_id", "op_idx", "sst_id", F.lit(0).alias("level"), F.lit("INSERT").alias("op"), "data_size")
-    after = diffs.select("version_id", "op_idx", "sst_id", "level", "op", "data_size").unionByName(added)
+def insert_l0(new: DataFrame, diffs: DataFrame, next_wanted: int, stream: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The manifest after new level-0 runs (``stream..., sst_id, data_size``), and all diffs from ``next_wanted`` on.
+
+    The runs make the next version of their stream, 1 where the stream has none yet.
+    """
+    numbered = ordered(new.select(*stream, "sst_id", "data_size"), list(stream), [F.col("sst_id")], sums={f"{P}no": F.lit(1)})
+    rows = numbered.select(*stream, (F.col(f"{P}no").cast("int") - 1).alias("op_idx"), "sst_id", "data_size")
+    if stream:
+        latest = latest_version(diffs, list(stream)).withColumnRenamed("version_id", f"{P}v")
+        rows = rows.join(latest, list(stream), "left").withColumn("version_id", F.coalesce(f"{P}v", F.lit(0)) + 1)
+    else:
+        rows = next_diff(rows, diffs)
+    added = rows.select(*stream, "version_id", "op_idx", "sst_id", F.lit(0).alias("level"), F.lit("INSERT").alias("op"), "data_size")
+    after = diffs.select(*stream, "version_id", "op_idx", "sst_id", "level", "op", "data_size").unionByName(added)
     return after, after.where(F.col("version_id") >= next_wanted)
 
 
-def pick_by_range(ssts: DataFrame, levels: int, lo, hi) -> DataFrame:
-    """``(level, picked)`` for every level: ids of runs that overlap ``[lo, hi]``, both inclusive; empty lists are kept."""
-    hit = ssts.where(overlaps(F.col("first_key"), F.col("last_key"), F.lit(lo), F.lit(hi)))
-    lists = hit.groupBy("level").agg(F.sort_array(F.collect_list("sst_id")).alias("picked"))
-    every = ssts.sparkSession.range(levels).select(F.col("id").cast("int").alias("level"))
-    return every.join(lists, "level", "left").select("level", F.coalesce("picked", F.array().cast("array<bigint>")).alias("picked"))
+def pick_by_range(ssts: DataFrame, lo, hi) -> DataFrame:
+    """``(level, sst_id)`` of runs that overlap ``[lo, hi]``, both inclusive."""
+    return ssts.where(overlaps(F.col("first_key"), F.col("last_key"), F.lit(lo), F.lit(hi))).select("level", "sst_id")
 
 
-def pick_by_key(ssts: DataFrame, levels: int, key) -> DataFrame:
+def pick_by_key(ssts: DataFrame, key) -> DataFrame:
     """As ``pick_by_range`` for one key."""
-    return pick_by_range(ssts, levels, key, key)
+    return pick_by_range(ssts, key, key)
 
 
-def pick_by_ids(ssts: DataFrame, levels: int, ids: list[int]) -> DataFrame:
-    """Runs that overlap the hull of the named runs; without ids, or unknown ones, empty lists."""
+def pick_by_ids(ssts: DataFrame, ids: list[int]) -> DataFrame:
+    """Runs that overlap the hull of the named runs; none without ids, or for unknown ones."""
     lo, hi = ssts.where(F.col("sst_id").isin(*ids) if ids else F.lit(False)).agg(F.min("first_key"), F.max("last_key")).first()
-    return pick_by_range(ssts if lo is not None else ssts.limit(0), levels, lo or "", hi or "")
+    return pick_by_range(ssts if lo is not None else ssts.limit(0), lo or "", hi or "")
+
+
+def listed(picked: DataFrame, levels: int) -> DataFrame:
+    """``(level, picked)`` for every level: the picked ids as one sorted list. For picks known to be few."""
+    lists = picked.groupBy("level").agg(F.sort_array(F.collect_list("sst_id")).alias("picked"))
+    every = picked.sparkSession.range(levels).select(F.col("id").cast("int").alias("level"))
+    return every.join(lists, "level", "left").select("level", F.coalesce("picked", F.array().cast("array<bigint>")).alias("picked"))
 
 
 def overlap_counts(ssts: DataFrame) -> DataFrame:

@@ -39,6 +39,20 @@ def bounds(entries: DataFrame) -> DataFrame:
     return per.withColumn("gap", F.col("last_index") - F.col("first_index") + 1 != F.col("n"))
 
 
+def range_gaps(log_entries: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(grp, lo, hi, missing)``: how many indexes of ``[lo, hi)`` a group's surviving entries lack.
+
+    ``ranges`` has ``grp, lo, hi``. Entries and ends of ranges are counted in one ordered pass, so ranges may overlap and a
+    group may have any number of them.
+    """
+    asks = ranges.where("grp IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL").distinct()
+    ends = asks.select("grp", "lo", "hi", F.explode(F.array("lo", "hi")).alias("idx"), F.lit(0).alias(f"{P}k"))
+    had = log_entries.select("grp", "idx").distinct().withColumn(f"{P}k", F.lit(1))
+    upto = ordered(ends.unionByName(had, allowMissingColumns=True), ["grp"], [F.col("idx"), F.col(f"{P}k"), F.col("lo"), F.col("hi")], sums={f"{P}n": F.col(f"{P}k").cast("bigint")})
+    per = upto.where(F.col(f"{P}k") == 0).groupBy("grp", "lo", "hi").agg((F.max(f"{P}n") - F.min(f"{P}n")).alias(f"{P}had"))
+    return per.select("grp", "lo", "hi", (F.greatest(F.col("hi") - F.col("lo"), F.lit(0)) - F.col(f"{P}had")).alias("missing"))
+
+
 def phantom_terms(log: DataFrame) -> DataFrame:
     """``(grp, idx, term)`` of the last entry that compaction removed: still asked for to check the first one kept."""
     gone = log.where("kind = 'ENTRY' AND term IS NOT NULL AND idx IS NOT NULL AND grp IS NOT NULL").join(compacted_to(log), "grp").where(F.col("idx") < F.col("compacted"))
@@ -67,6 +81,13 @@ def entries(log_entries: DataFrame, grp: int, index: int, n: int, mask: int = 0,
     return mine.where(F.col("idx") >= max(index, mask)).orderBy("idx").limit(n)
 
 
+def entries_each(log_entries: DataFrame, index: int, n: int, mask: int = 0) -> DataFrame:
+    """As ``entries`` without ``strict``, for every group."""
+    at = log_entries.where(F.col("idx") >= max(index, mask))
+    numbered = ordered(at, ["grp"], [F.col("idx")], sums={f"{P}no": F.lit(1).cast("bigint")})
+    return numbered.where(F.col(f"{P}no") <= n).drop(f"{P}no")
+
+
 def log_kv(log: DataFrame) -> DataFrame:
     """``(grp, rec_key, rec_value)``: the last PUT of each key of a group that no later DELETE removed."""
     rows = log.where("kind IN ('PUT', 'DELETE') AND rec_key IS NOT NULL")
@@ -96,4 +117,5 @@ def group_terms(log_entries: DataFrame) -> DataFrame:
 
 
 def remove_groups(log: DataFrame, removed: DataFrame) -> DataFrame:
+    """The log without any record of the removed groups."""
     return log.join(removed.select("grp").distinct(), "grp", "left_anti")

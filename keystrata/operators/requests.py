@@ -66,6 +66,19 @@ def evaluate(ops: DataFrame, versions: DataFrame) -> DataFrame:
     return got.unionByName(keyless).unionByName(rest)
 
 
+def apply_in_order(ops: DataFrame, order: list[Column]) -> DataFrame:
+    """``(request_id, op_idx, user_key, value)``: what each GET reads if ops are applied one after the other in ``order``.
+
+    A read sees the last write of its key that was applied before it, not what the write's sequence says; NULL if there is
+    none or it was a DELETE. Reads and writes of a key are merged by the ordered operator, so a hot key is spread.
+    """
+    keyed = ops.where(F.col("user_key").isNotNull() & F.col("op_type").isin("GET", *WRITES))
+    wrote = F.when(F.col("op_type").isin(*WRITES), F.struct("op_type", "op_value"))
+    got = ordered(keyed.select("request_id", "op_idx", "op_type", "user_key", "op_value", "arrived_at"), ["user_key"], order, lasts={f"{P}w": wrote})
+    value = F.when(F.col(f"{P}w.op_type") == "PUT", F.col(f"{P}w.op_value"))
+    return got.where("op_type = 'GET'").select("request_id", "op_idx", "user_key", value.alias("value"))
+
+
 def islands(rows: DataFrame, group: list[str], order: list[Column], same: Column, extra: dict[str, Column]) -> DataFrame:
     """``(group..., island, extra...)``: aggregates of maximal runs of consecutive rows for which ``same`` has one value."""
     numbered = ordered(rows, group, order, breaks={"island": (same, lambda before, now: ~before.eqNullSafe(now))})

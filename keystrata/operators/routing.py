@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keystrata._util import P, checked_broadcast
+from keystrata.operators.intervals import overlap_pairs, seeded
 from keystrata.operators.ordered import ordered
 
 #: Ranges up to which containment is compiled into a search tree of comparisons; beyond it keys and starts are sorted together.
@@ -59,28 +60,25 @@ def route_to_leader(keys: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
     return route(keys, key, ranges).join(checked_broadcast(leaders(ranges)), "grp", "left")
 
 
-def key_range_conflicts(ranges: DataFrame, inclusive: bool = True) -> DataFrame:
-    """``(a, b)``: pairs of groups, a < b, whose ranges overlap.
+def refresh(ranges: DataFrame, updates: DataFrame) -> DataFrame:
+    """The key ranges after updates, which carry a ``version``: the newest of each group counts, what the router had if there is none.
 
-    ``inclusive`` treats the end as part of the range, so adjacent ranges conflict; otherwise they don't. A sweep in
-    order of start keys with a running maximum finds ranges that touch an earlier one first; only those enter the
-    pair join, so disjoint metadata costs one sort.
+    Updates of a group that tie in version are taken to be the same.
     """
-    ends = F.struct(F.col("end_key").isNull().alias("open"), F.col("end_key").alias("end"))
-    r = ranges.select(F.col("grp"), F.col("start_key").alias("s"), ends.alias("e"))
-    swept = ordered(r, [], [F.col("s"), F.col("grp")], prior_maxes={"before": F.col("e")})
-    end = F.col("before.end")
-    touches = F.col("before.open") | ((end >= F.col("s")) if inclusive else (end > F.col("s")))
-    late = swept.where(F.coalesce(touches, F.lit(False))).drop("before")
-    a, b = r.alias("x"), late.alias("y")
+    both = ranges.withColumn("version", F.lit(None).cast("bigint")).unionByName(updates.select(*ranges.columns, F.col("version").cast("bigint")))
+    newest = F.max_by(F.struct(*[c for c in ranges.columns if c != "grp"]), F.coalesce("version", F.lit(-(2**63))))
+    return both.where("grp IS NOT NULL").groupBy("grp").agg(newest.alias(f"{P}r")).select("grp", f"{P}r.*").select(*ranges.columns)
+
 
-    def reaches(e: str, s: str) -> Column:
-        end = F.col(f"{e}.e.end")
-        return F.col(f"{e}.e.open") | ((end >= F.col(f"{s}.s")) if inclusive else (end > F.col(f"{s}.s")))
+def key_range_conflicts(ranges: DataFrame, inclusive: bool = True) -> DataFrame:
+    """``(a, b)``: pairs of groups, a < b, whose ranges overlap.
 
-    hit = (F.col("x.grp") != F.col("y.grp")) & reaches("x", "y") & reaches("y", "x")
-    pairs = a.join(checked_broadcast(b, 10_000), hit)
-    return pairs.select(F.least("x.grp", "y.grp").alias("a"), F.greatest("x.grp", "y.grp").alias("b")).distinct()
+    ``inclusive`` treats the end as part of the range, so adjacent ranges conflict; otherwise they don't. A NULL end is no
+    upper end, a NULL start no lower one.
+    """
+    r = ranges.select("grp", "start_key", "end_key")
+    pairs = overlap_pairs(r, r, ("start_key", "end_key"), ("start_key", "end_key"), inclusive)
+    return pairs.where("a.grp < b.grp").select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).distinct()
 
 
 def key_range_violations(new: DataFrame, present: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -128,7 +126,7 @@ def live_nodes(reports: DataFrame, node: str, now: Column, ttl_s: int) -> DataFr
 
 def pick_live_node(reports: DataFrame, node: str, now: Column, ttl_s: int, seed: int) -> DataFrame:
     """One live node, chosen by a seeded hash of its name (the same for the same seed)."""
-    return live_nodes(reports, node, now, ttl_s).orderBy(F.xxhash64(F.lit(seed), F.col(node)), node).limit(1)
+    return live_nodes(reports, node, now, ttl_s).orderBy(seeded(seed, F.col(node)), node).limit(1)
 
 
 def add_nodes(present: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +136,8 @@ def add_nodes(present: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def ranges_per_group(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("start_key", "end_key"))).alias("ranges"))
+    """``(grp, no, start_key, end_key)``: each group's ranges numbered from 1 in order of their starts."""
+    return ordered(ranges.select("grp", "start_key", "end_key"), ["grp"], [F.col("start_key"), F.col("end_key")], sums={"no": F.lit(1).cast("bigint")})
 
 
 def all_in_range(keys: DataFrame, key: str, ranges: DataFrame, request: str) -> DataFrame:

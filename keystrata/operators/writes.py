@@ -41,7 +41,14 @@ def rotate(rows: DataFrame, order: list[Column], capacity: int) -> DataFrame:
     """Adds ``table``: the memory table a row goes to when, in ``order``, tables are cut each ``capacity`` bytes."""
     size = (entry_bytes() + ENTRY_OVERHEAD).cast("bigint")
     got = ordered(rows, [], order, sums={f"{P}upto": size})
-    return got.withColumn("table", F.floor((F.col(f"{P}upto") - 1) / F.lit(capacity)).cast("bigint")).drop(f"{P}upto")
+    return got.withColumn("table", F.call_function("div", F.col(f"{P}upto") - 1, F.lit(capacity))).drop(f"{P}upto")
+
+
+def oldest_immutable(tables: DataFrame) -> DataFrame:
+    """The rows of the table to be flushed next: the lowest of ``rotate`` that isn't the one still written to, if there is any."""
+    ends = tables.agg(F.min("table").alias(f"{P}lo"), F.max("table").alias(f"{P}hi"))
+    at = F.broadcast(ends)  # one row
+    return tables.join(at, (F.col("table") == F.col(f"{P}lo")) & (F.col(f"{P}lo") < F.col(f"{P}hi"))).select(*tables.columns)
 
 
 def out_of_order(rows: DataFrame, group: list[str], order: list[Column], value: str) -> DataFrame:

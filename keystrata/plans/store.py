@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keystrata._util import checked_broadcast, spelled
+from keystrata._util import cut_lineage, spelled
 from keystrata.functions import codec
 from keystrata.operators import compaction, manifest, merge, raftlog, reads, requests, routing, writes
+from keystrata.operators.intervals import overlap_pairs
+from keystrata.operators.ordered import numbered
 from keystrata.sources.tables import kv_versions, log_entries, manifest_diffs, table, with_runs
 
 #: Snapshot, watermark, keys and bounds of the queries. All lie inside the data at any scale.
@@ -73,14 +75,14 @@ def _sst(spark: SparkSession, d: str) -> DataFrame:
 # ---- reads
 
 
-@query(f"SELECT * FROM {alive(SNAPSHOT)} l")
+@query(f"SELECT *, row_number() OVER (ORDER BY user_key) AS position FROM {alive(SNAPSHOT)} l")
 def mvcc_snapshot_scan(spark, d):
-    return reads.scan(_kv(spark, d), SNAPSHOT)
+    return numbered(reads.scan(_kv(spark, d), SNAPSHOT))
 
 
-@query(f"SELECT * FROM {alive(SNAPSHOT)} l")
+@query(f"SELECT *, row_number() OVER (ORDER BY user_key DESC) AS position FROM {alive(SNAPSHOT)} l")
 def mvcc_snapshot_scan_backward(spark, d):
-    return reads.scan(_kv(spark, d), SNAPSHOT, backward=True)
+    return numbered(reads.scan(_kv(spark, d), SNAPSHOT, backward=True))
 
 
 @query(f"""SELECT q.user_key, l.value, l.user_key IS NOT NULL AS found FROM (SELECT DISTINCT user_key FROM incoming_ops WHERE user_key IS NOT NULL AND {OP} = 'GET') q
@@ -146,18 +148,26 @@ def snapshot_handle(spark, d):
 # ---- merge
 
 
-@query(f"SELECT user_key, sequence, op, value FROM {KV} k")
+IN_ORDER = f"SELECT user_key, sequence, op, value, row_number() OVER (ORDER BY user_key, sequence DESC) AS position FROM {KV} k"
+
+
+def _spread_runs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Runs that overlap, dealt out of the versions, which are resolved once."""
+    kv = cut_lineage(_kv(spark, d))
+    return [kv.where(F.pmod("sequence", F.lit(LEVELS)) == i) for i in range(LEVELS)]
+
+
+@query(IN_ORDER)
 def merge_runs(spark, d):
-    kv = _kv(spark, d)
-    return merge.merge([kv.where(F.col("sequence") % LEVELS == i) for i in range(LEVELS)])
+    return numbered(merge.merge(_spread_runs(spark, d)))
 
 
-@query(f"SELECT user_key, sequence, op, value FROM {KV} k")
+@query(IN_ORDER)
 def concat_disjoint_runs(spark, d):
-    kv, cuts = _kv(spark, d), [None, *POINTS, None]
+    kv, cuts = cut_lineage(_kv(spark, d)), [None, *POINTS, None]
     k = F.col("user_key")
-    runs = [kv.where((k >= a if a else F.lit(True)) & (k < b if b else F.lit(True))).sortWithinPartitions("user_key", F.desc("sequence")) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return merge.concat(runs)
+    runs = [kv.where((k >= a if a else F.lit(True)) & (k < b if b else F.lit(True))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return numbered(merge.concat([merge.merge([r]) for r in runs]))
 
 
 @query(f"""SELECT user_key, level, sequence, op, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY level, sequence DESC) AS rn FROM {RUNS} r WHERE sequence <= {SNAPSHOT}) t WHERE rn = 1""")
@@ -210,9 +220,7 @@ SELECT t.user_key, t.sequence, t.op, CAST((t.user_key >= '{POINTS[0]}') AS INTEG
 FROM {NEWER} t JOIN (SELECT user_key, CAST((sum(size) OVER (ORDER BY user_key ROWS UNBOUNDED PRECEDING) - size) // {CAPACITY} AS BIGINT) AS chunk
   FROM (SELECT user_key, sum({SIZE}) AS size FROM {NEWER} t WHERE newer IS NULL OR newer > {WATERMARK} GROUP BY user_key) g) c ON t.user_key = c.user_key WHERE t.newer IS NULL OR t.newer > {WATERMARK}""")
 def compact_runs(spark, d):
-    kv = _kv(spark, d)
-    runs = [kv.where(F.col("sequence") % LEVELS == i) for i in range(LEVELS)]
-    return compaction.compact(runs, WATERMARK, CAPACITY, POINTS).select("user_key", "sequence", "op", "part", "chunk")
+    return compaction.compact(_spread_runs(spark, d), WATERMARK, CAPACITY, POINTS).select("user_key", "sequence", "op", "part", "chunk")
 
 
 @query(f"SELECT * FROM {SST} s")
@@ -270,9 +278,9 @@ def flush_runs(spark, d):
 SELECT h.grp, s.sst_id FROM s JOIN h ON s.level = 1 AND NOT (s.first_key > h.hi OR s.last_key < h.lo)""")
 def compaction_inputs(spark, d):
     sst = _sst(spark, d)
-    ranges = checked_broadcast(table(spark, d, "key_range").select("grp", "start_key", "end_key"))
-    picked = sst.where("level = 0").join(ranges, compaction.overlaps(F.col("first_key"), F.col("last_key"), F.col("start_key"), F.col("end_key")))
-    return compaction.next_level_inputs(picked, sst, 0)
+    ranges = table(spark, d, "key_range").select("grp", "start_key", "end_key")
+    met = overlap_pairs(sst.where("level = 0").select("first_key", "last_key"), ranges, ("first_key", "last_key"), ("start_key", "end_key"))
+    return compaction.next_level_inputs(met.select("b.grp", "a.*"), sst, 0)
 
 
 @query(f"""SELECT user_key, sequence, value FROM (SELECT user_key, sequence, value FROM {alive(2**63 - 1)} l WHERE user_key NOT IN (SELECT user_key FROM incoming_ops WHERE user_key IS NOT NULL AND {OP} IN ('PUT', 'DELETE'))) a
@@ -332,17 +340,17 @@ def _picked(lo: str, hi: str) -> str:
 
 
 def _listed(picked: DataFrame) -> DataFrame:
-    return picked.select("level", F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
+    return manifest.listed(picked, LEVELS).select("level", F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
 
 
 @query(_picked(f"'{LO}'", f"'{HI}'"))
 def pick_by_range(spark, d):
-    return _listed(manifest.pick_by_range(_sst(spark, d), LEVELS, LO, HI))
+    return _listed(manifest.pick_by_range(_sst(spark, d), LO, HI))
 
 
 @query(_picked(f"'{KEY}'", f"'{KEY}'"))
 def pick_by_key(spark, d):
-    return _listed(manifest.pick_by_key(_sst(spark, d), LEVELS, KEY))
+    return _listed(manifest.pick_by_key(_sst(spark, d), KEY))
 
 
 FIRST_RUN = SNAPSHOT // 500 - 4
@@ -350,7 +358,7 @@ FIRST_RUN = SNAPSHOT // 500 - 4
 
 @query(_picked(*(f"(SELECT {f} FROM {SST} s WHERE sst_id IN ({FIRST_RUN}, {FIRST_RUN + 1}))" for f in ("min(first_key)", "max(last_key)"))))
 def pick_by_ids(spark, d):
-    return _listed(manifest.pick_by_ids(_sst(spark, d), LEVELS, [FIRST_RUN, FIRST_RUN + 1]))
+    return _listed(manifest.pick_by_ids(_sst(spark, d), [FIRST_RUN, FIRST_RUN + 1]))
 
 
 @query(f"SELECT level, bool_and(prev IS NULL OR first_key > prev) AS ok FROM (SELECT level, first_key, lag(last_key) OVER (PARTITION BY level ORDER BY first_key, sst_id) AS prev FROM {SST} s) t GROUP BY level")
@@ -435,10 +443,9 @@ def live_nodes(spark, d):
     return routing.live_nodes(beats, "node_id", now, 7200)
 
 
-@query("SELECT grp, string_agg(start_key || '..' || coalesce(end_key, ''), ',' ORDER BY start_key) AS ranges FROM key_range GROUP BY grp")
+@query("SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY start_key, end_key) AS no, start_key, end_key FROM key_range")
 def ranges_per_group(spark, d):
-    text = F.transform("ranges", lambda r: F.concat(r["start_key"], F.lit(".."), F.coalesce(r["end_key"], F.lit(""))))
-    return routing.ranges_per_group(table(spark, d, "key_range")).select("grp", F.array_join(text, ",").alias("ranges"))
+    return routing.ranges_per_group(table(spark, d, "key_range"))
 
 
 # ---- requests
@@ -564,7 +571,11 @@ def codec_values(spark, d):
     return _kv(spark, d).select("user_key", "sequence", F.hex(codec.raw_value(F.col("op"), F.col("value"))).alias("raw_value"))
 
 
-@query()
+CRC = """CAST(xor(4294967295, list_reduce(list_prepend(4294967295, flatten([[CAST(('0x' || substr(f, 2 * i - 1, 2)) AS BIGINT) * 8 + j for j in range(8)] for i in range(1, length(f) // 2 + 1)])),
+  lambda c, x: CASE WHEN xor(c, CASE WHEN x % 8 = 0 THEN x // 8 ELSE 0 END) & 1 = 1 THEN xor(xor(c, CASE WHEN x % 8 = 0 THEN x // 8 ELSE 0 END) >> 1, 3988292384) ELSE xor(c, CASE WHEN x % 8 = 0 THEN x // 8 ELSE 0 END) >> 1 END)) AS BIGINT)"""
+
+
+@query(f"SELECT user_key, sequence, {CRC} AS crc FROM (SELECT user_key, sequence, hex(encode(user_key)) || lpad(upper(to_hex(-1 - sequence)), 16, '0') AS f FROM {KV} k) x")
 def codec_checksums(spark, d):
     return _kv(spark, d).select("user_key", "sequence", codec.crc32(codec.full_key(F.col("user_key"), F.col("sequence"))).alias("crc"))
 
@@ -586,26 +597,23 @@ def time_and_integers(spark, d):
 
 # ---- streaming
 
+#: Files that the deliveries are dealt to before they are streamed, two a micro-batch.
+STREAM_FILES = 8
+
 
 @query(f"SELECT user_key, sequence, op_value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY sequence DESC, op_idx DESC) AS rn FROM kv_ops WHERE user_key IS NOT NULL AND sequence IS NOT NULL AND {OP} IN ('PUT', 'DELETE')) t WHERE rn = 1 AND {OP} = 'PUT'")
 def streaming_apply(spark, d):
-    """The op stream applied batch by batch; the result must be the state that one batch gives."""
-    import uuid
-
-    from keystrata._util import ensure_checkpoint_dir
+    """The op stream applied in several micro-batches of deliveries; the result must be the state that one batch gives."""
+    from keystrata._util import scratch
     from keystrata.streaming import apply
 
-    root = f"{ensure_checkpoint_dir(spark)}/apply-{uuid.uuid4().hex}"
-    path = f"{d}/kv_ops.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_dir(spark, path) else f"{d}/kv_ops.parquet*")
+    root = scratch(spark, "apply")
+    split = f"{root}/input"
+    ops = table(spark, d, "kv_ops").withColumn("arrival", F.pmod(F.coalesce("batch_id", F.lit(0)), F.lit(STREAM_FILES)).cast("int"))
+    ops.repartition(STREAM_FILES, "arrival").write.parquet(split)
+    stream = spark.readStream.schema(spark.read.parquet(split).schema).option("maxFilesPerTrigger", 2).parquet(split)
     apply.apply_changes(stream, f"{root}/state", f"{root}/progress", ["user_key"], ["op_value"]).awaitTermination()
     return apply.StateTable(spark, f"{root}/state", ["user_key"], ["op_value"]).read().where("op = 'PUT'").select("user_key", "sequence", "op_value")
 
 
-def _is_dir(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 CATALOGUE = Q

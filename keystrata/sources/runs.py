@@ -45,6 +45,24 @@ def run_metadata(spark: SparkSession, path: str) -> DataFrame:
     return meta.select(F.col("sst_id").alias("file"), "first_key", "last_key", "n", "data_size")
 
 
+def codec_of(spark: SparkSession, path: str) -> str | None:
+    """The compression of a run, by the footer of its first file that has rows; None for an empty run."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    for st in root.getFileSystem(conf).listStatus(root):
+        if not st.getPath().getName().endswith(".parquet"):
+            continue
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(st.getPath(), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        try:
+            blocks = reader.getFooter().getBlocks()
+            if blocks.size():
+                return blocks.get(0).getColumns().get(0).getCodec().toString()
+        finally:
+            reader.close()
+    return None
+
+
 def store_options(s3: str | None = None, minio: str | None = None) -> dict[str, str]:
     """Hadoop settings of the store to use: S3 before MinIO before memory (no settings, a temporary view).
 
@@ -105,6 +123,11 @@ class ObjectStore:
         finally:
             src.close()
 
+    def size(self, name: str) -> int | None:
+        """Bytes of the object, None where there is none."""
+        fs, path = self._at(name)
+        return fs.getFileStatus(path).getLen() if fs.exists(path) else None
+
     def remove(self, name: str) -> None:
         fs, path = self._at(name)
         fs.delete(path, False)

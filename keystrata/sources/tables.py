@@ -30,8 +30,9 @@ def kv_versions(ops: DataFrame) -> DataFrame:
 
 def with_runs(versions: DataFrame) -> DataFrame:
     """Adds the sorted run and level a version lies in: ``sst_id = sequence div 500``, ``level = sst_id mod 4``."""
-    run = F.floor(F.col("sequence") / F.lit(RUN_SPAN)).cast("bigint")
-    return versions.withColumn("sst_id", run).withColumn("level", (run % LEVELS).cast("int"))
+    s = F.col("sequence")
+    run = F.call_function("div", s - F.pmod(s, F.lit(RUN_SPAN)), F.lit(RUN_SPAN))
+    return versions.withColumn("sst_id", run).withColumn("level", F.pmod(run, F.lit(LEVELS)).cast("int"))
 
 
 def manifest_diffs(manifest: DataFrame) -> DataFrame:

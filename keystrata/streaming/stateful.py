@@ -16,7 +16,10 @@ _OUT = f"user_key string, {_SCHEMA}"
 
 
 class _Newest(StatefulProcessor):
-    """One row of state a key, tombstones included; repeated and late changes are absorbed by the maximum."""
+    """One row of state a key, tombstones included; repeated and late changes are absorbed by the maximum.
+
+    A batch's changes of a key are reduced to one before they meet the state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", _SCHEMA)
@@ -26,11 +29,11 @@ class _Newest(StatefulProcessor):
         best = None if had is None else (had[0], had[1], had[2], had[3] or "")
         kept, was = had, best
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                value = None if pd.isna(r.value) else r.value
-                rank = (int(r.sequence), int(r.op_idx), r.op, value or "")
-                if best is None or rank > best:
-                    best, kept = rank, (*rank[:3], value)
+            at = pdf.assign(text=pdf["value"].fillna("")).sort_values(["sequence", "op_idx", "op", "text"]).iloc[-1] if len(pdf) > 1 else pdf.iloc[-1]
+            value = None if pd.isna(at["value"]) else at["value"]
+            rank = (int(at["sequence"]), int(at["op_idx"]), at["op"], value or "")
+            if best is None or rank > best:
+                best, kept = rank, (*rank[:3], value)
         if best != was:
             self.last.update(kept)
             yield pd.DataFrame([(key[0], *kept)], columns=["user_key", "sequence", "op_idx", "op", "value"])

@@ -9,6 +9,9 @@ from keystrata.operators import compaction, manifest, merge, raftlog, reads
 MAX = reads.LATEST
 
 
+# Versions, seeks, scans and what garbage collection keeps, as the engine's semantics define them.
+
+
 @pytest.fixture(scope="module")
 def mvcc(spark):
     data = []
@@ -121,15 +124,16 @@ def test_levels_and_picks(spark, rows):
     with pytest.raises(ValueError, match="level 9"):
         o.codec(9)
     ssts = spark.createDataFrame([(1, 0, "aaa", "fff"), (2, 0, "bbb", "ggg"), (3, 0, "xxx", "zzz"), (4, 1, "bbb", "fff"), (5, 3, "xxx", "zzz"), (6, 4, "aaa", "ddd"), (7, 4, "eee", "fff")], "sst_id bigint, level int, first_key string, last_key string")
-    picked = {r[0]: r[1] for r in manifest.pick_by_range(ssts, 7, "eee", "fff").collect()}
+    picked = {r[0]: r[1] for r in manifest.listed(manifest.pick_by_range(ssts, "eee", "fff"), 7).collect()}
     assert [picked[i] for i in range(7)] == [[1, 2], [4], [], [], [7], [], []]
-    assert {r[0]: r[1] for r in manifest.pick_by_ids(ssts, 7, []).collect()} == {i: [] for i in range(7)}
-    assert {r[0]: r[1] for r in manifest.pick_by_ids(ssts, 7, [7]).collect()}[0] == [1, 2]
+    assert {r[0]: r[1] for r in manifest.listed(manifest.pick_by_ids(ssts, []), 7).collect()} == {i: [] for i in range(7)}
+    assert {r[0]: r[1] for r in manifest.listed(manifest.pick_by_ids(ssts, [7]), 7).collect()}[0] == [1, 2]
     ranges = spark.createDataFrame([(1, "a", "h"), (2, "x", None)], "grp bigint, start_key string, end_key string")
     assert rows(compaction.l0_candidates(ssts, ranges, 2)) == [(1, 2)]
     pins = spark.createDataFrame([(2,)], "sst_id bigint")
     assert rows(compaction.l0_candidates(ssts, ranges, 1, pins)) == [(2, 1)]
-    assert compaction.pick_runs(ssts, 0, 0.1, 7).count() == 1
+    assert rows(compaction.pick_runs(ssts, ranges, 0, compaction.LsmOptions(l0_trigger=2), 7)) == [(1, 0, 1), (1, 0, 2), (1, 1, 4)]
+    assert compaction.pick_runs(ssts, ranges, 0, compaction.LsmOptions(l0_trigger=2), 7, pins).count() == 0
     assert dict(manifest.overlap_counts(ssts).collect()) == {1: 4, 2: 4, 3: 1, 4: 4, 5: 1, 6: 3, 7: 3}
     assert dict(manifest.non_overlap(ssts).collect()) == {0: False, 1: True, 3: True, 4: True}
     diff = compaction.compaction_diff(ssts.where("level = 0"), 0, ssts.where("level = 1"), spark.createDataFrame([(9, 5)], "sst_id bigint, data_size bigint"), 1)
@@ -230,6 +234,12 @@ def test_codecs(spark):
             codec.parse_bytes(bad)
         with pytest.raises(ValueError):
             codec.parse_seconds(bad)
+    n = [(1 << 60) + 8191, 0, -1, 4096, 2**53 + 1]
+    up = spark.createDataFrame([(x,) for x in n], "n bigint").select(codec.align_up(F.col("n"), 4096), codec.align_down(F.col("n"), 4096)).collect()
+    assert [tuple(r) for r in up] == [(-(-x // 4096) * 4096, x // 4096 * 4096) for x in n]
+    coded = spark.createDataFrame([(x,) for x in (0, 127, 128, 300, 2**28, 2**32 - 1)], "n bigint").select(codec.varint(F.col("n"))).collect()
+    assert [bytes(r[0]).hex() for r in coded] == ["00", "7f", "8001", "ac02", "8080808001", "ffffffff0f"]
+    assert bytes(spark.range(1).select(codec.length_prefixed(F.lit("ab").cast("binary"))).first()[0]) == b"\x02ab"
     pairs = spark.createDataFrame([("abc", "abd"), (None, "a"), ("é", "ê"), ("", "")], "a string, b string")
     assert [r[0] for r in pairs.select(codec.shared_prefix("a", "b")).collect()] == [2, 0, 1, 0]
 

@@ -1,7 +1,7 @@
 import pytest
 from odd_tables import write
 
-from keystrata.plans import store, training
+from keystrata.plans import storage, store, training
 
 #: Queries that name a version or index must say so when it isn't there.
 REFUSE = {"diffs_from"}
@@ -10,7 +10,7 @@ REFUSE = {"diffs_from"}
 @pytest.mark.parametrize("rows", [0, 3])
 def test_queries_take_empty_and_null_tables(spark, tmp_path, rows):
     base = write(tmp_path, rows)
-    for name, (query, _) in (training.CATALOGUE | store.CATALOGUE).items():
+    for name, (query, _) in (training.CATALOGUE | store.CATALOGUE | storage.CATALOGUE).items():
         try:
             query(spark, base).collect()
         except ValueError:

@@ -1,9 +1,9 @@
 import pytest
 from oracle import BASE, agree, connect
 
-from keystrata.plans import store, training
+from keystrata.plans import storage, store, training
 
-CATALOGUE = training.CATALOGUE | store.CATALOGUE
+CATALOGUE = training.CATALOGUE | store.CATALOGUE | storage.CATALOGUE
 
 
 @pytest.fixture(scope="module")

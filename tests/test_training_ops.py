@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.operators import changefeed, dedup, incremental, ordered, skew
+from keystrata.operators import changefeed, dedup, incremental, intervals, ordered, skew
 
 
 @pytest.fixture
@@ -251,22 +251,54 @@ def test_quantiles_against_brute_force(spark, monkeypatch, few, bins):
     assert skew.exact_quantiles(df.limit(0), ["key"], F.col("v"), probs).count() == 0
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_overlaps_against_all_pairs(spark, inclusive):
+    rng = random.Random(12)
+
+    def some(n, base):
+        out = []
+        for i in range(n):
+            lo = rng.randrange(40)
+            out.append((base + i, None if rng.random() < 0.1 else lo, None if rng.random() < 0.1 else lo + rng.randrange(1, 9)))
+        return [*out, out[0]]
+
+    a, b = some(40, 0), some(60, 100)
+    schema = "id int, lo int, hi int"
+    meets = (lambda x, y: x <= y) if inclusive else (lambda x, y: x < y)
+    want = sorted((p[0], q[0]) for p in a for q in b if (p[1] is None or q[2] is None or meets(p[1], q[2])) and (q[1] is None or p[2] is None or meets(q[1], p[2])))
+    got = intervals.overlap_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ("lo", "hi"), ("lo", "hi"), inclusive)
+    assert sorted((r["a"]["id"], r["b"]["id"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([], schema)
+    assert intervals.overlap_pairs(none, none, ("lo", "hi"), ("lo", "hi")).count() == 0
+
+
+def test_rows_are_numbered_as_they_come(spark):
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("x")).orderBy(F.desc("x"))
+    got = ordered.numbered(df).collect()
+    assert sorted((r["position"], r["x"]) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+
+
 def test_ordered_against_plain_windows(spark, rows):
     rng = random.Random(7)
     data = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), i, rng.choice([None, rng.randrange(50)])) for i in range(900)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "g string, o int, v int")
     for group in (["g"], []):
-        got = ordered.ordered(df, group, [F.col("o")], {"s": F.col("v")}, {"l": F.col("v")}, {"n": F.col("o")}, {"z": F.col("v")}, {"m": F.col("v")}, {"x": F.col("v")})
+        got = ordered.ordered(df, group, [F.col("o")], {"s": F.col("v")}, {"l": F.col("v")}, {"n": F.col("o")}, {"z": F.col("v")}, {"m": F.col("v")}, {"x": F.col("v")}, {"b": (F.col("v"), lambda before, now: ~before.eqNullSafe(now)), "c": (F.struct("v", "o"), lambda before, now: now["v"] < before["v"])})
         want = []
         by = defaultdict(list)
         for g, o, v in sorted(data, key=lambda r: r[1]):
             by[g if group else 0].append((g, o, v))
         for rs in by.values():
-            total, last = 0, None
+            total, last, b, c = 0, None, 0, 0
             for i, (g, o, v) in enumerate(rs):
+                had = rs[i - 1][2] if i else None
+                b += i == 0 or v != had
+                c += i == 0 or v is None or had is None or v < had
                 total, last = total + (v or 0), v if v is not None else last
                 later = [x[2] for x in rs[i + 1 :] if x[2] is not None]
-                want.append((g, o, v, total, rs[i - 1][2] if i else None, rs[i + 1][1] if i + 1 < len(rs) else None, last, min(later, default=None), max((x[2] for x in rs[:i] if x[2] is not None), default=None)))
+                want.append((g, o, v, total, rs[i - 1][2] if i else None, rs[i + 1][1] if i + 1 < len(rs) else None, last, min(later, default=None), max((x[2] for x in rs[:i] if x[2] is not None), default=None), b, c))
         assert rows(got) == sorted(want, key=lambda t: tuple((x is not None, x) for x in t))
     assert ordered.ordered(df.limit(0), [], [F.col("o")], {"s": F.col("v")}).count() == 0
