@@ -31,8 +31,12 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ranks: str = RANKS) -> DataFrame:
-    """``(doc_id, n_tokens)`` of whole texts; a NULL or empty text has none. ``ranks`` must lie on every executor."""
+def token_counts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ranks: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens)`` of whole texts; a NULL or empty text has none.
+
+    ``ranks`` must lie on every executor; without it the session's ``spark.keystrata.ranks`` says where, or ``RANKS``.
+    """
+    ranks = ranks or documents.sparkSession.conf.get("spark.keystrata.ranks", RANKS)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks).encode_ordinary
@@ -79,7 +83,7 @@ def pack(sizes: np.ndarray, capacity: int, width: int = GAP_WIDTH) -> np.ndarray
     return out
 
 
-def containers(counts: DataFrame, targets: DataFrame, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+def containers(counts: DataFrame, targets: DataFrame, docs_per_shard: int = DOCS_PER_SHARD, width: int = GAP_WIDTH) -> DataFrame:
     """``(target_id, shard, container, doc_id, piece, first_token, n_tokens)``: where each document goes for each target.
 
     ``targets`` has ``target_id, capacity_tokens``. A document longer than a container is cut into full containers and a
@@ -110,7 +114,7 @@ def containers(counts: DataFrame, targets: DataFrame, docs_per_shard: int = DOCS
         size = np.minimum(cap, n[row] - piece * cap)
         order = np.flatnonzero(size > 0)
         where = np.full(len(row), -1, np.int64)
-        where[order] = pack(size[order], cap)
+        where[order] = pack(size[order], cap, width)
         return pd.DataFrame(
             {
                 "target_id": pdf["target_id"].iloc[0], "shard": pdf["shard"].iloc[0], "container": pd.array(where, dtype="Int64"), "doc_id": ids[row],
@@ -122,6 +126,24 @@ def containers(counts: DataFrame, targets: DataFrame, docs_per_shard: int = DOCS
     return dealt.groupBy("target_id", "shard").applyInPandas(one, schema)
 
 
+def faults(packed: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(target_id, overfull, split, tokens_off, documents)``: faults of a packing of ``counts``, and the documents it places.
+
+    Containers that hold more than fits, documents in pieces that fit into one, and by how many tokens pieces and
+    documents differ (over all documents, taken one by one). Sums per container and document with map-side combine.
+    """
+    sizes = targets.where("target_id IS NOT NULL AND capacity_tokens > 0").select("target_id", F.col("capacity_tokens").alias("capacity"))
+    sizes = F.broadcast(sizes)  # at most MAX_TARGETS rows, or there is no packing
+    held = packed.where("container IS NOT NULL").groupBy("target_id", "shard", "container").agg(F.sum("n_tokens").alias("t")).join(sizes, "target_id")
+    over = held.groupBy("target_id").agg(F.count_if(F.col("t") > F.col("capacity")).cast("int").alias("overfull"))
+    rows = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("want"), F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("copies"))
+    placed = packed.groupBy("target_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    both = placed.join(rows, placed["doc_id"].eqNullSafe(rows["doc_id"])).join(sizes, "target_id")
+    split = F.count_if((F.col("longest") <= F.col("capacity")) & (F.col("pieces") > F.col("copies"))).cast("int")
+    per = both.groupBy("target_id").agg(split.alias("split"), F.sum(F.abs(F.col("got") - F.col("want"))).cast("int").alias("tokens_off"), F.sum("copies").alias("documents"))
+    return per.join(over, "target_id", "left").select("target_id", F.coalesce("overfull", F.lit(0)).alias("overfull"), "split", "tokens_off", "documents")
+
+
 def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: containers, tokens, share of the space that is used, and the fewest containers any packing needs."""
     used = packed.where("container IS NOT NULL")

@@ -53,6 +53,14 @@ def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return long(told.agg(asked, seen)).unionByName(long(wrong.agg(bad))).unionByName(long(held))
 
 
+def p3_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Rows asked, told seen, and told seen though new: by the exact answers none is wrong but at the promised rate."""
+    return p3_error_rate(spark, d).where(F.col("figure").isin("asked", "told_seen", "told_wrongly")).select("figure", F.col("value").cast("bigint").alias("n"))
+
+
+P3_ANSWERS = f"SELECT 'asked' AS figure, count(*) AS n FROM incoming_ops UNION ALL SELECT 'told_seen', count(*) FROM ({P3_FOUND}) s UNION ALL SELECT 'told_wrongly', 0"
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_hitters.frequent(table(spark, d, "kv_ops"), "user_key", SHARE).select("user_key")
 
@@ -73,9 +81,22 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(counts, table(spark, d, "pack_targets"))
 
 
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Per target what must not be: containers above capacity, documents split though they fit, tokens lost or added."""
+    counts = cut_lineage(packing.token_counts(table(spark, d, "documents")))
+    targets = table(spark, d, "pack_targets")
+    return packing.faults(packing.containers(counts, targets), counts, targets)
+
+
+P7_FAULTS = "SELECT target_id, 0 AS overfull, 0 AS split, 0 AS tokens_off, (SELECT count(*) FROM documents) AS documents FROM pack_targets WHERE target_id IS NOT NULL AND capacity_tokens > 0"
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers of each target are."""
-    return packing.fill(p7_containers(spark, d), table(spark, d, "pack_targets"))
+    """How full the containers of each target are, with gaps counted in classes and token by token."""
+    counts = cut_lineage(packing.token_counts(table(spark, d, "documents")))
+    targets = table(spark, d, "pack_targets")
+    each = [packing.fill(packing.containers(counts, targets, width=w), targets).withColumn("gap_width", F.lit(w)) for w in (packing.GAP_WIDTH, 1)]
+    return each[0].unionByName(each[1])
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +113,8 @@ def p8_removals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_shares(spark: SparkSession, d: str) -> DataFrame:
-    lines = cut_lineage(stuffing.lines_of(table(spark, d, "documents")))
+    documents = table(spark, d, "documents")
+    lines = cut_lineage(stuffing.lines_of(documents, common=stuffing.function_words(documents, lang="lang")))
     return stuffing.shares_of(lines, stuffing.fit_lines(lines))
 
 
@@ -109,9 +131,11 @@ def p9_line_shares(spark: SparkSession, d: str) -> DataFrame:
 CATALOGUE = {
     "p3_found": (p3_found, P3_FOUND),
     "p3_error_rate": (p3_error_rate, None),
+    "p3_answers": (p3_answers, P3_ANSWERS),
     "p4_found": (p4_found, P4_FOUND),
     "p4_counts": (p4_counts, P4_COUNTS),
     "p7_containers": (p7_containers, None),
+    "p7_faults": (p7_faults, P7_FAULTS),
     "p7_fill": (p7_fill, None),
     "p8_found": (p8_found, None),
     "p8_removals": (p8_removals, None),

@@ -22,7 +22,7 @@ FIRST_KEYS, ROWS_PER_SHARD = 8192, 4_000_000
 #: Slots of the per-task filter that thins out hot keys before the shuffle.
 RECENT = 1 << 18
 
-LAYERS = "shard int, layer int, m bigint, k int, inserted bigint, error double, bits binary"
+LAYERS = "shards int, shard int, layer int, m bigint, k int, inserted bigint, error double, bits binary"
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -110,17 +110,17 @@ class Chain:
         }
 
 
-_ARROW = pa.schema([("shard", pa.int32()), ("layer", pa.int32()), ("m", pa.int64()), ("k", pa.int32()), ("inserted", pa.int64()), ("error", pa.float64()), ("bits", pa.binary())])
+_ARROW = pa.schema([("shards", pa.int32()), ("shard", pa.int32()), ("layer", pa.int32()), ("m", pa.int64()), ("k", pa.int32()), ("inserted", pa.int64()), ("error", pa.float64()), ("bits", pa.binary())])
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops keys this task passed on lately (a fixed table of recent hashes), so a hot key isn't shuffled row by row."""
-    recent = np.zeros(RECENT, np.int64)
+    recent, used = np.zeros(RECENT, np.int64), np.zeros(RECENT, bool)
     for b in batches:
         h = np.unique(b.column("h").to_numpy(zero_copy_only=False))
         slot = (_mix(h, 0) & np.uint64(RECENT - 1)).astype(np.int64)
-        h, slot = (lambda new: (h[new], slot[new]))(recent[slot] != h)
-        recent[slot] = h
+        h, slot = (lambda new: (h[new], slot[new]))((recent[slot] != h) | ~used[slot])
+        recent[slot], used[slot] = h, True
         yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
 
@@ -128,13 +128,15 @@ def _load(chain: Chain, b: pa.RecordBatch, i: int) -> None:
     chain.layers.append(Layer(b.column("m")[i].as_py(), b.column("k")[i].as_py(), b.column("error")[i].as_py(), b.column("inserted")[i].as_py(), b.column("bits")[i].as_py()))
 
 
-def _run(bound: float, first_keys: int, probing: bool):
+def _run(bound: float, first_keys: int, probing: bool, shards: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains: dict[int, Chain] = {}
         for b in batches:
             shard = b.column("shard").to_numpy(zero_copy_only=False)
             stored = b.column("kind").to_numpy(zero_copy_only=False) == 0
             for i in np.flatnonzero(stored):
+                if (made := b.column("shards")[int(i)].as_py()) != shards:
+                    raise ValueError(f"the layers were made with {made} shards, not {shards}")
                 _load(chains.setdefault(int(shard[i]), Chain(bound, first_keys)), b, int(i))
             rest = np.flatnonzero(~stored)
             if not len(rest):
@@ -153,7 +155,7 @@ def _run(bound: float, first_keys: int, probing: bool):
         if not probing:
             for s, chain in chains.items():
                 for i in range(len(chain.layers)):
-                    yield pa.RecordBatch.from_pydict({k: v[i : i + 1] for k, v in chain.rows(s).items()}, schema=_ARROW)
+                    yield pa.RecordBatch.from_pydict({"shards": [shards]} | {k: v[i : i + 1] for k, v in chain.rows(s).items()}, schema=_ARROW)
 
     return go
 
@@ -167,10 +169,10 @@ def _fed(keys: DataFrame, layers: DataFrame | None, shards: int) -> DataFrame:
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
     fed = keys.select(shard.alias("shard"), F.lit(1).alias("kind"), "h")
     if layers is None:
-        return fed.repartition(shards, "shard")
-    fed = fed.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in LAYERS.split(", ")[1:])])
-    stored = layers.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("h"), "layer", "m", "k", "inserted", "error", "bits")
-    return stored.unionByName(fed).repartition(shards, "shard").sortWithinPartitions("kind", "shard", "layer")
+        return fed.repartitionById(shards, "shard")
+    fed = fed.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in LAYERS.split(", ")) if c != "shard"])
+    stored = layers.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("h"), "shards", "layer", "m", "k", "inserted", "error", "bits")
+    return stored.unionByName(fed).repartitionById(shards, "shard").sortWithinPartitions("kind", "shard", "layer")
 
 
 def key_hash(key: F.Column) -> F.Column:
@@ -180,15 +182,16 @@ def key_hash(key: F.Column) -> F.Column:
 def remember(keys: DataFrame, shards: int, bound: float, layers: DataFrame | None = None, first_keys: int = FIRST_KEYS) -> DataFrame:
     """The layer table after adding ``keys`` (hashes in ``h``; NULL says nothing) to ``layers``.
 
-    A task holds the chains of its shards, about 1.44 * log2(1/error) bits a key; repeated keys take no room.
+    ``shards`` is stored with the layers; going on with another number would miss keys, so the run fails. A task holds the
+    chain of its shard, about 1.44 * log2(1/error) bits a key; repeated keys take no room.
     """
     thinned = keys.select("h").where(F.col("h").isNotNull()).mapInArrow(_thin, "h bigint")
-    return _fed(thinned, layers, shards).mapInArrow(_run(bound, first_keys, False), LAYERS)
+    return _fed(thinned, layers, shards).mapInArrow(_run(bound, first_keys, False, shards), LAYERS)
 
 
 def ask(keys: DataFrame, layers: DataFrame, shards: int, bound: float) -> DataFrame:
     """``(h, maybe_seen)`` for every hash of ``keys``; False is certain, True is wrong at the rate of ``error_bounds``."""
-    return _fed(keys.select("h").where(F.col("h").isNotNull()), layers, shards).mapInArrow(_run(bound, FIRST_KEYS, True), "h bigint, maybe_seen boolean")
+    return _fed(keys.select("h").where(F.col("h").isNotNull()), layers, shards).mapInArrow(_run(bound, FIRST_KEYS, True, shards), "h bigint, maybe_seen boolean")
 
 
 def error_bounds(layers: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,20 +22,14 @@ STATES = ("prose", "links", "tags", "menu")
 HIDDEN = ("sentence", "note", "links", "tags", "menu")
 LABEL = (0, 0, 1, 2, 3)
 
-#: Frequent function words of the corpus languages (en, de, fr, es).
-FUNCTION_WORDS = frozenset(
-    """
-    the a an of to in on at and or but if is are was were be been it its this that these those for with by from as not no
-    we i you he she they my your our me us them has have had do does did will would should could can than when who what which how there so only
-    der die das den dem des ein eine einen einem und oder aber ist sind war wird wurde nicht mit von zu zur zum auf für über bis nach vor aus bei im am um
-    an ich du wir ihr sie es wer wenn weil dass ob noch auch sich haben hat habe ohne mir uns dir bitte
-    le la les un une des du de et ou mais est sont était été il elle on nous vous je tu ne pas que qui avec sans pour par dans sur au aux en ce cette si ici nous cela ça car tant bien même avant après
-    el los las una unos unas y o pero es son fue era ha han no se que con sin por para del al lo su mi te le sobre esta este como quién si aunque ser sido más mientras antes tras ya
-    """.split()
-)
+#: A word of at least this share of a language's documents is a function word of it; share and documents are told apart
+#: from chance by so many standard errors, and languages of fewer documents teach none.
+COMMON_SHARE, ERRORS, LEAST_DOCS = 0.3, 3.0, 30
+#: Words that a task counts before it passes its counts on.
+HELD_WORDS = 500_000
 
 _URL = re.compile(r"((?:https?://|www\.)[^\s)\]>\"']+)", re.I)
-_TAG = re.compile(r"(?<!\w)#\w|\]\(|\bSKU\b|[\w)] \| \w", re.I)
+_TAG = re.compile(r"(?<!\w)#\w|\]\(|\b[A-Za-z]{2,6}-\d{3,}\b|[\w)] \| \w")
 #: Distance in words within which a word counts as repeated.
 NEAR = 30
 #: A line of more than LONG words is labelled in pieces of CHUNK.
@@ -59,10 +54,10 @@ def _level(x: float, *bounds: float) -> int:
     return bisect_right(bounds, x)
 
 
-def part_lines(lines: list[str]) -> list[Line]:
+def part_lines(lines: list[str], common: frozenset[str] = frozenset()) -> list[Line]:
     """Symbol and word count of each line that has words; long lines come in pieces.
 
-    Features: share of words in link addresses; share of function words (but for those that follow the
+    ``common`` holds the function words. Features: share of words in link addresses; share of function words (but for those that follow the
     same word for the third time within ``NEAR`` words); share of other words that are repeated within ``NEAR`` words on either side; tag marks, or mostly figures; length.
     """
     rows: list[tuple[bool, int, int, int]] = []  # tag marks, words of links, begin and end among the text words
@@ -98,7 +93,7 @@ def part_lines(lines: list[str]) -> list[Line]:
     free = bytearray(len(text))  # function words, unless after the same word for the third time within NEAR
     pairs: dict[tuple[str, str], tuple[int, int]] = {}
     for i, w in enumerate(text):
-        if w in FUNCTION_WORDS:
+        if w in common:
             pair = (text[i - 1] if i else "", w)
             before, latest = pairs.get(pair, (-NEAR, -NEAR))
             free[i] = i - before >= NEAR
@@ -108,7 +103,7 @@ def part_lines(lines: list[str]) -> list[Line]:
         own, total = text[begin:end], end - begin + links
         small = sum(free[begin:end])
         figures = sum(map(str.isdigit, own))
-        rest = [near[begin + i] for i, w in enumerate(own) if w not in FUNCTION_WORDS and not w.isdigit()]
+        rest = [near[begin + i] for i, w in enumerate(own) if w not in common and not w.isdigit()]
         marks = 2 if own and figures * 2 >= len(own) else 1 if marked else 0
         levels = (
             _level(links / total, 0.2, 0.5),
@@ -141,6 +136,7 @@ class Model(NamedTuple):
     start: np.ndarray
     move: np.ndarray
     features: tuple[np.ndarray, ...]  # per feature: states x levels
+    common: frozenset[str] = frozenset()  # function words
 
     def emission(self) -> np.ndarray:
         """States x symbols: product of the features."""
@@ -271,7 +267,46 @@ class Labeller:
         return out[::-1]
 
 
-def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def function_words(documents: DataFrame, text: str = "text", lang: str | None = None) -> frozenset[str]:
+    """The function words of the corpus: those in at least ``COMMON_SHARE`` of the documents of a language.
+
+    Languages are the values of the column ``lang`` up to the first hyphen, whatever their case, NULL being one more; wrong
+    values do no harm as long as they are few in their language. Without ``lang`` the corpus counts as one language. All
+    documents are counted, with sums that are combined in the task; what comes to the driver has at most as many words per
+    language as a document has different ones on average, divided by the share. Numbers are no words. It is taken for
+    granted that pages stuffed with the same words are less than that share of a language.
+    """
+    tag = F.lower(F.split(F.coalesce(F.col(lang).cast("string"), F.lit("")), "[-_]")[0]) if lang else F.lit("")
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, str]] = Counter()
+
+        def told() -> pa.RecordBatch:
+            keys = list(counts)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+        for b in batches:
+            for t, language in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own = {w for lines in mailtext.own_lines(t.as_py()) for line in lines for w in mailtext.words(line)}
+                counts.update((language, w) for w in own if not w.isdigit())
+                counts[language, ""] += 1  # the documents of the language
+                if len(counts) > HELD_WORDS:
+                    yield told()
+                    counts.clear()
+        yield told()
+
+    rows = spread(documents.select(F.col(text).alias("text"), tag.alias("lang")).where(F.col("text").isNotNull()))
+    counted = rows.mapInArrow(go, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)
+    docs = counted.where("word = ''").select("lang", F.col("n").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    p, d, z = F.col("n") / F.col("docs"), F.col("docs"), ERRORS
+    low = (p + z * z / (2 * d) - z * F.sqrt(p * (1 - p) / d + z * z / (4 * d * d))) / (1 + z * z / d)  # end of the score interval
+    got = counted.where("word != ''").join(docs, "lang").where(low >= COMMON_SHARE).select("word").distinct().collect()
+    return frozenset(r[0] for r in got)
+
+
+def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", common: frozenset[str] = frozenset()) -> DataFrame:
     """``(doc_id, sizes, symbols, words)``: of each document, lines per text part, and all lines' symbols and words.
 
     Numbers of 4, 2 and 4 bytes in binary columns. A NULL or empty text, or one without words, has no lines. Repeated
@@ -283,7 +318,7 @@ def lines_of(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         for b in batches:
             out: tuple[list[bytes], ...] = ([], [], [])
             for t in b.column(1):
-                got = [part_lines(lines) for lines in mailtext.own_lines(t.as_py())]
+                got = [part_lines(lines, common) for lines in mailtext.own_lines(t.as_py())]
                 flat = [x for lines in got for x in lines]
                 out[0].append(np.array([len(lines) for lines in got], np.uint32).tobytes())
                 out[1].append(np.array([x.symbol for x in flat], np.uint16).tobytes())
@@ -328,11 +363,12 @@ def fit_lines(lines: DataFrame, rounds: int = FIT_ROUNDS) -> Model:
     return model
 
 
-def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int | None = None) -> Model:
-    """The model fitted on all documents, or on about ``docs`` of them, chosen by a hash of their id."""
+def train(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", docs: int | None = None, lang: str | None = None) -> Model:
+    """The model fitted on all documents, or on about ``docs`` of them, chosen by a hash of their id; function words are those of all."""
+    common = function_words(documents, text, lang)
     if docs is not None:
         documents = documents.where(F.pmod(F.xxhash64(doc_id), F.lit(max(1, documents.count() // docs))) == 0)
-    return fit_lines(cut_lineage(lines_of(documents, text, doc_id)))
+    return fit_lines(cut_lineage(lines_of(documents, text, doc_id, common)))._replace(common=common)
 
 
 def shares_of(lines: DataFrame, model: Model) -> DataFrame:
@@ -361,7 +397,7 @@ def shares_of(lines: DataFrame, model: Model) -> DataFrame:
 
 def line_shares(documents: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``shares_of`` the lines of documents, in one pass without a shuffle. A text without words has zeros."""
-    return shares_of(lines_of(documents, text, doc_id), model)
+    return shares_of(lines_of(documents, text, doc_id, model.common), model)
 
 
 def flagged(shares: DataFrame, share: float = SHARE) -> DataFrame:

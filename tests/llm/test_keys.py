@@ -59,9 +59,22 @@ def test_layers_go_on_from_a_stored_state(spark, tmp_path):
     assert after.agg(F.sum("inserted")).first()[0] == 6000
     told = {r["h"]: r["maybe_seen"] for r in seen_keys.ask(frame(np.concatenate([a, b, hashes(2000, 7)])), after, 4, 1e-4).collect()}
     assert all(told[int(x)] for x in np.concatenate([a, b])) and sum(told.values()) <= 6003
+    for number in (2, 8):
+        with pytest.raises(Exception, match="made with 4 shards"):
+            seen_keys.ask(frame(a), after, number, 1e-4).collect()
+        with pytest.raises(Exception, match="made with 4 shards"):
+            seen_keys.remember(frame(a), number, 1e-4, after).collect()
     assert all(r["bound"] <= 1e-4 for r in seen_keys.error_bounds(after).collect())
 
 
+def test_every_hash_is_kept(spark):
+    """Zero and the ends among them; a task's table of recent hashes starts empty."""
+    odd = spark.createDataFrame([(0,), (-1,), (2**63 - 1,), (-(2**63),), (0,), (None,)], "h bigint")
+    layers = seen_keys.remember(odd, 16, 1e-6)
+    assert layers.agg(F.sum("inserted")).first()[0] == 4
+    assert all(r["maybe_seen"] for r in seen_keys.ask(odd, layers, 16, 1e-6).collect())
+
+
 def test_empty_history_and_batch(spark):
     none = spark.createDataFrame([], "h bigint")
     layers = seen_keys.remember(none, 4, 1e-3)
@@ -71,7 +84,7 @@ def test_empty_history_and_batch(spark):
 
 
 @pytest.mark.parametrize("buckets", [4, 8192])
-def test_frequent_against_brute_force(spark, buckets):
+def test_frequent_against_brute_force(spark, monkeypatch, buckets):
     rng = random.Random(8)
     data = ["hot"] * 900 + [None] * 500 + ["", "é"] * 40 + [f"k{int(rng.paretovariate(0.6))}" for _ in range(3000)]
     df = spark.createDataFrame([(x, 1, 2) for x in data], "key string, n int, b int").repartition(6)
@@ -79,5 +92,8 @@ def test_frequent_against_brute_force(spark, buckets):
         n = Counter(data)
         want = {k: v for k, v in n.items() if k is not None and v * share.denominator >= len(data) * share.numerator}
         assert {r["key"]: r["n"] for r in heavy_hitters.frequent(df, "key", share, buckets=buckets).collect()} == want
+    monkeypatch.setattr(heavy_hitters, "LISTED", 0)
+    assert {r["key"]: r["n"] for r in heavy_hitters.frequent(df, "key", Fraction(1, 100), buckets=buckets).collect()} == {k: v for k, v in n.items() if k is not None and v * 100 >= len(data)}
+    assert heavy_hitters.buckets_for(Fraction(1, 200)) == 8192 < heavy_hitters.buckets_for(Fraction(1, 10**4)) <= heavy_hitters.MOST_BUCKETS == heavy_hitters.buckets_for(Fraction(1, 10**9))
     assert heavy_hitters.frequent(df.limit(0), "key", Fraction(1, 2)).count() == 0
     assert heavy_hitters.frequent(df.where("key IS NULL"), "key", Fraction(1, 2)).count() == 0

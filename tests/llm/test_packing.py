@@ -76,3 +76,14 @@ def test_documents_go_whole_into_containers(spark, ranks):
     assert all(r["containers"] >= r["at_least"] and 0.8 < r["used"] <= 1 for r in fill.values())
     assert packing.containers(counts.limit(0), targets).count() == 0
     assert packing.containers(counts, targets.limit(0)).count() == 0
+
+
+def test_faults_are_found(spark, rows):
+    counts = spark.createDataFrame([(1, 4), (2, 9), (3, 25), (4, 0), (None, 3), (5, 4), (5, 4)], "doc_id bigint, n_tokens bigint")
+    targets = spark.createDataFrame([(7, 10), (8, 30), (9, None)], "target_id bigint, capacity_tokens bigint")
+    good = packing.containers(counts, targets)
+    assert rows(packing.faults(good, counts, targets)) == [(7, 0, 0, 0, 7), (8, 0, 0, 0, 7)]
+    worse = good.where("NOT (target_id = 8 AND doc_id = 2)").withColumn("container", F.when(F.col("container").isNotNull(), F.when(F.col("target_id") == 7, 0).otherwise(F.col("container"))))
+    worse = worse.unionByName(worse.where("target_id = 8 AND doc_id = 1").withColumn("piece", F.lit(1)))
+    bad = {r["target_id"]: r for r in packing.faults(worse, counts, targets).collect()}
+    assert bad[7]["overfull"] == 1 and bad[8]["split"] == 1 and bad[8]["tokens_off"] == 4 and bad[8]["documents"] == 5

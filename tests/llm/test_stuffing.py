@@ -33,6 +33,20 @@ def menu(rng):
     return "<table>" + "".join(f"<tr><td>{rng.choice(ITEMS)}</td><td>SKU-{rng.randrange(99999):05d}</td><td><a href='http://s.example/{rng.randrange(999)}'>buy</a></td></tr>" for _ in range(20)) + "</table>"
 
 
+POLISH = [
+    "Raport leży na stole, ale nie został jeszcze przeczytany, bo nie było na to czasu w tym tygodniu.",
+    "Jeśli masz pytania do tego planu, napisz do mnie albo do kogoś z biura, a my się tym zajmiemy.",
+    "Nie jest pewne, że to się uda, ale zespół jest gotowy i będzie nad tym pracował do piątku.",
+    "W raporcie jest mowa o tym, że w magazynie nie ma już miejsca i że trzeba je zrobić od nowa.",
+]
+DUTCH = [
+    "Het verslag ligt op de tafel, maar we hebben het nog niet gelezen omdat er geen tijd voor was.",
+    "Als je een vraag hebt over dit plan, schrijf dan aan mij of aan een van de mensen op het kantoor.",
+    "Het is niet zeker dat het lukt, maar de ploeg is klaar en zal er tot vrijdag aan werken.",
+    "In het verslag staat dat er in het magazijn geen plaats meer is en dat we die opnieuw moeten maken.",
+]
+
+
 def mail(body, html=False):
     return f"From: a@b.example\nContent-Type: text/{'html' if html else 'plain'}\n\n{body}"
 
@@ -71,6 +85,31 @@ def test_pages_are_told_apart(spark, corpus):
     assert stuffing.train(df.limit(0)).start.tolist() == pytest.approx(stuffing.fit([]).start.tolist())
 
 
+def test_languages_that_no_list_has(spark):
+    """Prose that says the same over and over, in languages with no words of their own in the code, among stuffed pages of theirs."""
+    rng = random.Random(9)
+    docs = [(i, mail(prose(rng)), "en-GB" if i % 2 else "EN", False) for i in range(200)]
+    for base, lang, lines in ((1000, "pl", POLISH), (2000, "nl", DUTCH)):
+        docs += [(base + i, mail("\n".join(rng.choices(lines, k=8))), lang if i % 9 else None, False) for i in range(100)]
+        docs += [(base + 500 + i, mail("\n".join(lines * 12)), lang, False) for i in range(5)]
+        stuffed = lambda: " ".join(f"{rng.choice(['tani', 'kup', 'goed', 'koop'])} {rng.choice(['dywan', 'lampa', 'stoel', 'kast'])} {rng.choice(['sklep', 'winkel'])}" for _ in range(60))
+        docs += [(base + 900 + i, mail(stuffed()), lang, True) for i in range(8)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, bad boolean").repartition(4)
+    model = stuffing.train(df, lang="lang")
+    assert {"nie", "że", "het", "dat", "the"} <= model.common and not {"lampa", "winkel"} & model.common
+    got = {r["doc_id"] for r in stuffing.flagged(stuffing.line_shares(df, model)).collect()}
+    assert got == {d for d, _, _, bad in docs if bad}
+    assert stuffing.function_words(df.limit(0), lang="lang") == frozenset() == stuffing.function_words(df.limit(20))
+
+
+def test_words_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(stuffing, "LEAST_DOCS", 1)
+    docs = [(i, "A: b\n\n" + " ".join(["das"] * (i % 10 < 7) + ["und"] * (i % 10 < 2) + [f"x{i}", "7"])) for i in range(400)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
+        assert stuffing.function_words(df) == {"das"}
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
@@ -116,7 +155,8 @@ def test_model_of_all_rows_whatever_their_order(spark):
     digest = "Content-Type: multipart/digest; boundary=b\n\n" + "".join(f"--b\n\n{PROSE[i % 6]}\n" for i in range(9000)) + "--b--"
     docs += [(10_000 + i, mail(rng.choice(PROSE))) for i in range(8100)] + [(9999, digest)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    seqs = [np.array([x.symbol for x in got], np.uint16) for _, t in docs for lines in stuffing.mailtext.own_lines(t) if (got := stuffing.part_lines(lines))]
+    common = stuffing.function_words(df)
+    seqs = [np.array([x.symbol for x in got], np.uint16) for _, t in docs for lines in stuffing.mailtext.own_lines(t) if (got := stuffing.part_lines(lines, common))]
     want = stuffing.fit(seqs, docs=len(docs))
     for parts in (1, 5):
         got = stuffing.train(df.orderBy(F.rand(parts)).repartition(parts))
