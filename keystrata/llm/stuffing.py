@@ -240,31 +240,40 @@ def fit(sequences: list[np.ndarray], rounds: int = FIT_ROUNDS, docs: int = 0) ->
 
 
 class Labeller:
-    """Most likely states of a sequence of symbols (Viterbi in log space)."""
+    """Most likely states of sequences of symbols (Viterbi in log space), all sequences a step at a time."""
 
     def __init__(self, model: Model):
         with np.errstate(divide="ignore"):
-            self.start, self.e = np.log(model.start).tolist(), np.log(model.emission()).T.tolist()
-            self.into = np.log(model.move).T.tolist()
-
-    def states(self, symbols: list[int]) -> list[int]:
-        if not symbols:
-            return []
-        v = [s + e for s, e in zip(self.start, self.e[symbols[0]], strict=True)]
-        back = []
-        for x in symbols[1:]:
-            best, nxt = [], []
-            for into, e in zip(self.into, self.e[x], strict=True):
-                c = [a + b for a, b in zip(v, into, strict=True)]
-                m = max(c)
-                best.append(c.index(m))
-                nxt.append(m + e)
-            back.append(best)
-            v = nxt
-        out = [v.index(max(v))]
-        for best in reversed(back):
-            out.append(best[out[-1]])
-        return out[::-1]
+            self.start, self.e, self.move = np.log(model.start), np.log(model.emission()), np.log(model.move)
+
+    def states(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        n = np.array([len(x) for x in sequences], np.int64)
+        order = np.argsort(-n, kind="stable")
+        flat = np.concatenate(sequences).astype(np.int64) if len(sequences) else np.zeros(0, np.int64)
+        begin, length = (np.cumsum(n) - n)[order], n[order]
+        steps = int(length[0]) if len(n) else 0
+        open_ = np.searchsorted(-length, -np.arange(steps), "left").tolist()  # sequences longer than t
+        out = np.zeros(len(flat), np.int8)
+        v, back = np.zeros((len(HIDDEN), 0)), []
+        ends = np.zeros(len(n), np.int8)
+        for t in range(steps):
+            m = open_[t]
+            e = self.e[:, flat[begin[:m] + t]]
+            if t == 0:
+                v = self.start[:, None] + e
+            else:
+                ways = v[:, None, :m] + self.move[:, :, None]
+                back.append(ways.argmax(0).astype(np.int8))
+                v = ways.max(0) + e
+            m_next = open_[t + 1] if t + 1 < steps else 0
+            ends[m_next:m] = v[:, m_next:].argmax(0)
+        at = ends.copy()
+        for t in range(steps - 1, -1, -1):
+            m = open_[t]
+            out[begin[:m] + t] = at[:m]
+            if t:
+                at[:m] = back[t - 1][at[:m], np.arange(m)]
+        return np.split(out, np.cumsum(n)[:-1]) if len(n) else []
 
 
 def function_words(documents: DataFrame, text: str = "text", lang: str | None = None) -> frozenset[str]:
@@ -381,15 +390,14 @@ def shares_of(lines: DataFrame, model: Model) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list[int]] = [[] for _ in STATES]
-            for sizes, symbols, words in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                states = [s for x in _parted(sizes, np.frombuffer(symbols, np.uint16)) for s in labeller.states(x.tolist())]
-                by = [0] * len(STATES)
-                for state, n in zip(states, np.frombuffer(words, np.uint32).tolist(), strict=True):
-                    by[LABEL[state]] += n
-                for c, n in zip(cols, by, strict=True):
-                    c.append(n)
-            total = [sum(x) for x in zip(*cols, strict=True)]
+            held = [_parted(sizes, np.frombuffer(symbols, np.uint16)) for sizes, symbols in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            states = labeller.states([x for parts in held for x in parts])
+            size = [np.frombuffer(w, np.uint32) for w in b.column(3).to_pylist()]
+            doc = np.repeat(np.arange(b.num_rows), [len(w) for w in size])
+            label = np.array(LABEL)[np.concatenate(states)] if states else np.zeros(0, np.int64)
+            words = np.concatenate(size) if size else np.zeros(0, np.uint32)
+            cols = [np.bincount(doc[label == k], words[label == k], b.num_rows).astype(np.int64) for k in range(len(STATES))]
+            total = sum(cols)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in (total, *cols)]], schema=schema)
 
     return lines.mapInArrow(go, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))

@@ -126,8 +126,11 @@ def test_viterbi_against_all_paths():
             return p
 
         best = max(score(p) for p in itertools.product(range(len(stuffing.HIDDEN)), repeat=5))
-        assert score(label.states(x)) == pytest.approx(best)
+        assert score(label.states([np.array(x)])[0]) == pytest.approx(best)
     assert label.states([]) == []
+    many = [rng.integers(0, stuffing.N_SYMBOLS, n).astype(np.uint16) for n in (3, 0, 40, 1, 7, 7, 0, 300)]
+    for x, got in zip(many, label.states(many), strict=True):
+        assert got.tolist() == label.states([x])[0].tolist() and len(got) == len(x)
 
 
 def test_fitting_raises_the_likelihood():
