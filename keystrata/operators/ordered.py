@@ -43,7 +43,9 @@ def ordered(
     held = df.select("*", *[o.alias(c) for o, c in zip(order, ocols, strict=True)], *[e.alias(f"{P}v_{name}") for name, e in exprs])
     held = cut_lineage(held.repartitionByRange(n, *group, *ocols).withColumn(PID, F.spark_partition_id()))
     w = W.partitionBy(PID, *group).orderBy(*ocols)
-    upto, after, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing), w.rowsBetween(W.unboundedPreceding, -1)
+    upto, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    # what follows a row is what comes before it in reverse: a frame that ends with the group is filled anew for every row
+    after = W.partitionBy(PID, *group).orderBy(*[F.desc(c) for c in ocols]).rowsBetween(W.unboundedPreceding, -1)
     v = lambda name: F.col(f"{P}v_{name}")
     local = [
         *[F.sum(v(c)).over(upto).alias(f"{P}w_{c}") for c in sums],
@@ -73,7 +75,8 @@ def ordered(
         *[F.max_by(F.struct(v(c).alias(c)), at).alias(f"{P}l_{c}") for c in breaks],
     )
     we = W.partitionBy(*group).orderBy(PID) if group else W.partitionBy(F.lit(0)).orderBy(PID)
-    before, behind = we.rowsBetween(W.unboundedPreceding, -1), we.rowsBetween(1, W.unboundedFollowing)
+    before = we.rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy(*group if group else [F.lit(0)]).orderBy(F.desc(PID)).rowsBetween(W.unboundedPreceding, -1)
     e = lambda name: F.col(f"{P}e_{name}")
     through = we.rowsBetween(W.unboundedPreceding, 0)
     for c in breaks:  # whether a partition's first row begins a run: it does if there is none before
