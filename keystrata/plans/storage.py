@@ -332,7 +332,7 @@ def length_prefixed(spark, d):
     return _kv(spark, d).select("user_key", "sequence", F.hex(codec.length_prefixed(data)).alias("slice"))
 
 
-@query("SELECT DISTINCT user_key, 1 AS shards, true AS inside FROM kv_ops WHERE user_key IS NOT NULL")
+@query("SELECT DISTINCT user_key, CAST(1 AS BIGINT) AS shards, true AS inside FROM kv_ops WHERE user_key IS NOT NULL")
 def hash_shards(spark, d):
     """Every key falls into one shard of 64."""
     s = codec.shard_of(F.col("user_key"), 64)
