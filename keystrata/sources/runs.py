@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keystrata.operators.compaction import LsmOptions, sst_metadata
 
 COLUMNS = ("user_key", "sequence", "op", "value")
+#: Row groups aren't looked up in dictionaries: Parquet reads those 8 KiB at a time, and a larger one in LZ4_RAW then fails
+#: ("all input must be consumed") unless the decompressor happens to hold a larger buffer.
+READ = {"parquet.filter.dictionary.enabled": "false"}
+#: Keys without a dictionary, since beside one no Bloom filter is written; the smallest filter that holds a row group's keys.
+BLOOM = {
+    "parquet.bloom.filter.enabled#user_key": "true", "parquet.enable.dictionary#user_key": "false",
+    "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number#user_key": "10",
+}
 
 
 def write_run(versions: DataFrame, path: str, level: int = 0, options: LsmOptions | None = None, partitions: int | None = None, bloom: bool = True) -> None:
@@ -23,7 +31,7 @@ def write_run(versions: DataFrame, path: str, level: int = 0, options: LsmOption
     spread = rows.repartitionByRange(partitions, "user_key") if partitions else rows.repartitionByRange("user_key")
     out = spread.sortWithinPartitions("user_key", F.desc("sequence")).write.mode("errorifexists").option("compression", codec)
     if bloom:
-        out = out.option("parquet.bloom.filter.enabled#user_key", "true")
+        out = out.options(**BLOOM)
     out.parquet(path)
 
 
@@ -35,12 +43,12 @@ def write_bucketed(versions: DataFrame, name: str, buckets: int) -> None:
 
 
 def read_runs(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths).select(*COLUMNS)
+    return spark.read.options(**READ).parquet(*paths).select(*COLUMNS)
 
 
 def run_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``(file, first_key, last_key, n, data_size)`` of a run's files."""
-    rows = spark.read.parquet(path).select(*COLUMNS, F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.options(**READ).parquet(path).select(*COLUMNS, F.col("_metadata.file_name").alias("file"))
     meta = sst_metadata(rows.withColumn("sst_id", F.col("file")).withColumn("level", F.lit(0)))
     return meta.select(F.col("sst_id").alias("file"), "first_key", "last_key", "n", "data_size")
 

@@ -1,6 +1,8 @@
 import pytest
+from oracle import agree, connect
 from pyspark.sql import functions as F
 
+from keystrata.plans import storage
 from keystrata.sources import runs
 from keystrata.sources.tables import kv_versions, register_views, table
 from keystrata.streaming import apply
@@ -33,6 +35,40 @@ def test_bloom_filters_are_written(spark, tmp_path):
     assert sizes[1] > sizes[0]
 
 
+@pytest.mark.parametrize("column", ["user_key", "value"])
+def test_filters_pass_large_dictionaries(spark, tmp_path, rows, column):
+    ids = spark.range(40_000)
+    kv = ids.select(F.sha1((F.col("id") % 10_000).cast("string")).alias("user_key"), F.col("id").alias("sequence"), F.lit("PUT").alias("op"), F.sha1((F.col("id") % 8_000).cast("string")).alias("value"))
+    wanted = kv.where(F.col(column).between("40", "41"))
+    kv.coalesce(1).write.option("compression", "lz4_raw").parquet(str(tmp_path / "plain"))
+    runs.write_run(kv, str(tmp_path / "run"), level=2, partitions=1)
+    for name in ("plain", "run"):  # no other read of these files before: it would leave a decompressor that is large enough
+        back = runs.read_runs(spark, str(tmp_path / name)).where(F.col(column).between("40", "41"))
+        assert rows(back) == rows(wanted) and back.count() > 0
+
+
+def test_run_range_read_of_one_file(spark):
+    base, before = "/root/testdata/sf0.01", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        agree(spark, connect(base), *storage.CATALOGUE["run_range_read"], base)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_few_keys_get_a_bloom_filter(spark, tmp_path):
+    path = tmp_path / "run"
+    runs.write_run(kv_versions(table(spark, BASE, "kv_ops")), str(path), level=2, partitions=2)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for f in path.glob("*.parquet"):
+        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+        try:
+            assert all(b.getColumns().get(0).getBloomFilterOffset() > 0 for b in reader.getFooter().getBlocks())
+        finally:
+            reader.close()
+
+
 def test_bucketed_reads_need_no_exchange(spark, rows):
     from keystrata.operators.reads import live
 
